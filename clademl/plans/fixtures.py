@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import wide_table_conf
+
 N_EMB = 64
 FEATURES = [f"f{i:02d}" for i in range(1, N_EMB + 4)]  # f01..f67
 POS, NEG = "Probiotic", "Nonprobiotic"
@@ -32,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- FX1 strains
 def fx1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide_table_conf(spark)
     e = table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     feats = [F.col("embedding")[i].cast("double").alias(f"f{i + 1:02d}") for i in range(N_EMB)]

@@ -28,12 +28,14 @@ def get_spark(master: str | None = None, app: str = "clademl", shuffle_partition
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_LIMIT_BYTES))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
     )
@@ -71,3 +73,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def persist(df: DataFrame) -> DataFrame:
     """Cache for repeated use (recomputed from lineage if an executor is lost)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def wide_table_conf(spark: SparkSession) -> None:
+    """Settings for tables with many derived columns (runtime SQL confs of the session).
+
+    Constraint propagation enumerates implied predicates over every alias of a
+    wide projection and can take minutes in the optimizer; it buys nothing here.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
