@@ -151,7 +151,7 @@ def corr_drop(cols: Sequence[str], m, threshold: float) -> list[str]:
     larger than i's, else i. NULL correlations count as 0."""
     p = len(cols)
     a = [[0.0 if (m[i][j] is None or m[i][j] != m[i][j]) else abs(m[i][j]) for j in range(p)] for i in range(p)]
-    mean_abs = [sum(row) / p for row in a]
+    mean_abs = [round(sum(row) / p, 9) for row in a]  # rounded: exact collinearity must not hinge on the last bit
     drop = set()
     for i in range(p):
         for j in range(i + 1, p):
@@ -313,7 +313,7 @@ def fold_stats(df: DataFrame, folds: DataFrame, cols: Sequence[str], key: str =
 
     Sufficient statistics of values centred on the global mean are summed per
     assessment fold (one join + one aggregate); analysis = total - fold. Output
-    long: ``(repeat, fold, column, n, mean, sd)``.
+    long: ``(repeat, fold, variable, n, mean, sd)``.
     """
     cols = list(cols)
     centre = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
@@ -330,6 +330,6 @@ def fold_stats(df: DataFrame, folds: DataFrame, cols: Sequence[str], key: str =
         q = F.lit(tot[f"q_{c}"] or 0.0) - F.coalesce(F.col(f"q_{c}"), F.lit(0.0))
         mean = F.lit(centre[c]) + s / n
         var = F.try_divide(q - s * s / n, n - 1)
-        rows.append(F.struct(F.lit(c).alias("column"), n.alias("n"), mean.alias("mean"),
+        rows.append(F.struct(F.lit(c).alias("variable"), n.alias("n"), mean.alias("mean"),
                              F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd")))
     return part.select("repeat", "fold", F.explode(F.array(*rows)).alias("s")).select("repeat", "fold", "s.*")

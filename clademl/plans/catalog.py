@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_relational  # noqa: F401
+from . import q_evaluation, q_relational  # noqa: F401
