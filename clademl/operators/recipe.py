@@ -78,7 +78,7 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
     ``freq_ratio`` = most / second most frequent value count, ``unique_pct`` =
     100 * distinct non-NULL values / rows. A HyperLogLog pass first rules out
     clearly high-cardinality columns (estimate above twice the cut, far beyond the
-    1 % estimator error); the exact counts run only on the remaining columns.
+    5 % estimator error); the exact counts run only on the remaining columns.
     """
 
     freqCut = Param(Params._dummy(), "freqCut", "frequency ratio cut", TypeConverters.toFloat)
@@ -93,22 +93,27 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
     def stats(self, df: DataFrame) -> DataFrame:
         cols = _present(df, self.getInputCols())
         cut = self.getOrDefault(self.uniqueCut)
-        first = df.agg(F.count(F.lit(1)).alias("__n"),
-                       *[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
-        n = first["__n"]
-        cand = [c for c in cols if n and 100.0 * first[c] / n <= 2 * cut]
         spark = df.sparkSession
-        if not cand or not n:
-            return spark.createDataFrame([], "column string, freq_ratio double, unique_pct double, n_distinct long")
-        long = df.select(*[F.col(c).cast("string").alias(c) for c in cand]).unpivot([], cand, "column", "value") \
-            .filter(F.col("value").isNotNull())
-        vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        top = vc.groupBy("column").agg(F.max_by("value", "cnt").alias("top_value"), F.max("cnt").alias("c1"),
-                                       F.count(F.lit(1)).alias("n_distinct"))
-        second = vc.join(top.select("column", "top_value"), "column").filter(F.col("value") != F.col("top_value")) \
-            .groupBy("column").agg(F.max("cnt").alias("c2"))
-        s = top.join(second, "column", "left")
-        return s.select("column", (F.col("c1") / F.col("c2")).alias("freq_ratio"),
+        empty = spark.createDataFrame([], "variable string, freq_ratio double, unique_pct double, n_distinct long")
+        if not cols:
+            return empty
+        # long form: one small HLL buffer per column group, partial aggregation map-side
+        long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+        est = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"),
+                                           F.approx_count_distinct("value", 0.05).alias("nd")).collect()
+        n = max((r["n"] for r in est), default=0)
+        cand = [r["variable"] for r in est if n and 100.0 * r["nd"] / n <= 2 * cut]
+        if not cand:
+            return empty
+        vc = (long.filter(F.col("variable").isin(cand) & F.col("value").isNotNull())
+              .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
+        # top two counts per column without a window over the column's values
+        top = vc.groupBy("variable").agg(F.max_by("value", "cnt").alias("top_value"), F.max("cnt").alias("c1"),
+                                         F.count(F.lit(1)).alias("n_distinct"))
+        second = vc.join(F.broadcast(top.select("variable", "top_value")), "variable") \
+            .filter(F.col("value") != F.col("top_value")).groupBy("variable").agg(F.max("cnt").alias("c2"))
+        s = top.join(second, "variable", "left")
+        return s.select("variable", (F.col("c1") / F.col("c2")).alias("freq_ratio"),
                         (100.0 * F.col("n_distinct") / F.lit(n)).alias("unique_pct"), "n_distinct")
 
     def _fit(self, df: DataFrame) -> DropColumnsModel:
@@ -118,7 +123,7 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
         for r in self.stats(df).collect():  # one row per candidate column
             single = r["freq_ratio"] is None
             if single or (r["freq_ratio"] > fcut and r["unique_pct"] <= ucut):
-                drop.append(r["column"])
+                drop.append(r["variable"])
         order = {c: i for i, c in enumerate(cols)}
         return DropColumnsModel(inputCols=cols, dropCols=sorted(drop, key=order.get))
 
