@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,9 +154,17 @@ def impute_dosage(g: DataFrame, how: str = "mean") -> DataFrame:
 
 
 def index_keys(df: DataFrame, keys: Sequence[str], out: str, seed: int = 0) -> DataFrame:
-    """Dense 0-based index of the distinct ``keys`` (distributed rank by md5 key)."""
-    k = df.select(*keys).distinct()
-    return global_rank(k, order_key(seed, *keys), rank_col=out).withColumn(out, F.col(out) - 1)
+    """Dense 0-based index of the distinct ``keys``.
+
+    Distinct keys are checkpointed to the reliable folder first (so every later use,
+    even after an executor loss, sees the same numbering), then numbered by
+    per-partition offsets: one tiny count per partition, no global sort.
+    """
+    from ..session import cut_lineage
+    from ..sources.tables import with_file_order
+
+    k = cut_lineage(df.select(*keys).distinct())
+    return cut_lineage(with_file_order(k, out))
 
 
 def kinship(g: DataFrame, min_maf: float = MAF_MIN, block: int = 1024) -> DataFrame:
@@ -174,6 +183,7 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, block: int = 1024) -> DataFr
     si = index_keys(obs, SAMPLE, "si")
     z = obs.join(vi, "variant_id").join(si, SAMPLE).select(
         "vi", "si", ((F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z"))
+    z = z.persist(StorageLevel.MEMORY_AND_DISK)
     nv = vi.count()
     ns = si.count()
 
@@ -191,7 +201,8 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, block: int = 1024) -> DataFr
                                                      F.col("m").cast("long").alias("m"))
     si_i = si.select(F.col("si").alias("i"), F.col("fid").alias("fid_i"), F.col("iid").alias("iid_i"))
     si_j = si.select(F.col("si").alias("j"), F.col("fid").alias("fid_j"), F.col("iid").alias("iid_j"))
-    return pairs.join(si_i, "i").join(si_j, "j").select("fid_i", "iid_i", "fid_j", "iid_j", "g", "m")
+    out = pairs.join(si_i, "i").join(si_j, "j").select("fid_i", "iid_i", "fid_j", "iid_j", "g", "m")
+    return out
 
 
 def dosage_vectors(g: DataFrame, variants: DataFrame | None = None) -> DataFrame:
