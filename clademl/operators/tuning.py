@@ -209,3 +209,19 @@ def rfe(df: DataFrame, folds: DataFrame, features: Sequence[str], sizes: Sequenc
     final = [r["variable"] for r in rk.groupBy("variable").agg(F.avg("rank").alias("m"))
              .orderBy("m", "variable").limit(int(best)).collect()]
     return profile.withColumn("selected", F.col("size") == F.lit(int(best))), final
+
+
+def train_many(df: DataFrame, folds: DataFrame, methods: Mapping[str, tuple], levels: Sequence[str],
+               key: str = "row_id", label: str = "label", parallelism: int = 4) -> DataFrame:
+    """Several methods on the same replicate folds (``repeat`` = replica).
+
+    ``methods`` maps a name to ``(make_recipe, make_model, grid)``. Returns every
+    held-out prediction with ``method``, ``cell_id``, ``repeat``, ``fold`` -- the saved
+    cross-validation predictions (T11); metrics follow from one grouped aggregate.
+    """
+    out = None
+    for name, (make_recipe, make_model, grid) in methods.items():
+        p = fit_resample_cells(df, folds, make_recipe, make_model, grid, levels, key, label, parallelism=parallelism)
+        p = p.withColumn("method", F.lit(name))
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out

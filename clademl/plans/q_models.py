@@ -194,3 +194,15 @@ def m11(spark, sf):
     te = d.filter(F.pmod(F.xxhash64("iid"), F.lit(4)) == 0)
     m = M.lasso_linear(lam=10.0).fit(tr)
     return V.mse(m.transform(te), "y", "prediction")
+
+
+@query("t7_train_many")
+def t7(spark, sf):
+    """Two methods x 2 replicates x 2 folds on shared folds -> T8 resample table from the predictions."""
+    train, _ = wf.flagship_split(spark, sf)
+    folds = R.vfold(train, v=2, repeats=2, seed=11, strata="label")
+    methods = {"RLR": (lambda: E.recipe(fx.FEATURES), lambda c: M.lasso_logit(c["penalty"]), [{"penalty": 0.01}]),
+               "RF": (lambda: E.recipe(fx.FEATURES), lambda c: M.forest(trees=20, mtry=8, min_n=3), [{"trees": 20}])}
+    preds = T.train_many(train, folds, methods, LEVELS)
+    m = V.metric_set(preds, "label", "pred_class", f"pred_{NEG}", NEG, POS, by=["method", "repeat", "fold"])
+    return T.resample_table(m, ["RLR", "RF"])

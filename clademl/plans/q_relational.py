@@ -449,3 +449,17 @@ def u3(spark, sf):
     d = fx.fx1(spark, sf).select("row_id", "label")
     ranked = W.global_rank(d, order_key(7, "row_id"), strata=["label"], rank_col="rk")
     return P.rest(d, ranked.filter(F.col("rk") <= 5))
+
+
+@query("a6_pair_sample", with_ctes(FX1_SQL) + "SELECT row_id, f01, f02, f03 FROM fx1 ORDER BY md5(concat_ws('|', '42', row_id)) LIMIT 50")
+def a6s(spark, sf):
+    """A bounded sample for pairwise plots: the limit is the operator (a sampling feature)."""
+    return A.pair_sample(fx.fx1(spark, sf), ["f01", "f02", "f03"], 50, seed=42)
+
+
+@query("p15_feature_spec", with_ctes(FX1_SQL) + "SELECT row_id, label, " + ", ".join(fx.FEATURES) + ", organism, taxon, habitat FROM fx1")
+def p15(spark, sf):
+    from ..spec import FeatureSpec
+
+    d = fx.fx1(spark, sf)
+    return FeatureSpec.from_df(d, "label", ids=["row_id"]).select(d)
