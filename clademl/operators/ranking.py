@@ -28,9 +28,14 @@ OFFSET_BROADCAST_ROWS = 2_000_000
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    n = offsets.count()  # small: groups x buckets, computed from a partial aggregate
-    side = F.broadcast(offsets) if n <= OFFSET_BROADCAST_ROWS else offsets
-    return df.join(side, keys, "left")
+    """Join the per-bucket offset table back.
+
+    The offset table is an aggregate (groups x buckets rows); AQE sees its real size
+    when that stage finishes and turns the join into a broadcast only when it is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- a runtime size check that
+    costs no extra job. Otherwise it stays a shuffle join.
+    """
+    return df.join(offsets, keys, "left")
 
 
 def global_rank(df: DataFrame, key: str | Column, strata: Sequence[str] = (), tiebreak: Sequence[str] = (),
@@ -56,19 +61,31 @@ def global_rank(df: DataFrame, key: str | Column, strata: Sequence[str] = (), ti
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
-                   n_buckets: int = 1024, rel_err: float = 0.001, suffix: str = "_below") -> DataFrame:
+                   n_buckets: int = 1024, rel_err: float = 0.001, suffix: str = "_below",
+                   group_buckets: int = 128) -> DataFrame:
     """For each row, sums of ``sum_cols`` over rows of the same group with a strictly
     smaller ``order_col`` (columns ``<col><suffix>``). ``df`` should hold one row per
     distinct (group, order value) -- aggregate first -- so ties never split.
+
+    Bucket bounds are approximate quantiles of the order column: global ones without
+    groups, per-group ones (``percentile_approx`` grouped, one small row per group)
+    otherwise, so a group whose values sit in a narrow range is still split evenly.
+    The bounds affect only balance, never the result.
     """
     groups = list(groups)
     sum_cols = list(sum_cols)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(order_col, probs, rel_err) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
     tmp_b = "__rt_bucket"
     d = df.withColumn("__rt_x", F.col(order_col).cast("double"))
-    d = Bucketizer(splits=splits, inputCol="__rt_x", outputCol=tmp_b, handleInvalid="keep").transform(d)
+    if groups:
+        probs = F.array(*[F.lit(i / group_buckets) for i in range(1, group_buckets)])
+        bounds = d.groupBy(*groups).agg(F.percentile_approx("__rt_x", probs, int(1 / rel_err)).alias("__rt_s"))
+        d = d.join(bounds, groups, "left").withColumn(
+            tmp_b, F.size(F.filter(F.col("__rt_s"), lambda s: s < F.col("__rt_x"))).cast("double")).drop("__rt_s")
+    else:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        qs = df.approxQuantile(order_col, probs, rel_err) if n_buckets > 1 else []
+        splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
+        d = Bucketizer(splits=splits, inputCol="__rt_x", outputCol=tmp_b, handleInvalid="keep").transform(d)
     tot = d.groupBy(*groups, tmp_b).agg(*[F.sum(c).alias(f"__rt_t_{c}") for c in sum_cols])
     w_b = Window.partitionBy(*groups).orderBy(tmp_b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(*groups, tmp_b, *[F.coalesce(F.sum(f"__rt_t_{c}").over(w_b), F.lit(0)).alias(f"__rt_o_{c}")

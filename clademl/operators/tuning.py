@@ -30,6 +30,21 @@ def _prob_cols(preds: DataFrame, levels: Sequence[str]) -> DataFrame:
     return preds
 
 
+def with_folds(df: DataFrame, folds: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows tagged with their (repeat, fold) -- one join for all resamples, persisted so every
+    resample is a filter instead of its own join."""
+    f = folds.select(key, F.col("repeat").alias("__repeat"), F.col("fold").alias("__fold"))
+    return df.join(f, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def split_resample(tagged: DataFrame, repeat: int, fold: int) -> tuple[DataFrame, DataFrame]:
+    """(analysis, assessment) rows of one resample of a :func:`with_folds` table."""
+    r = tagged.filter(F.col("__repeat") == repeat)
+    a = r.filter(F.col("__fold") != fold).drop("__repeat", "__fold")
+    b = r.filter(F.col("__fold") == fold).drop("__repeat", "__fold")
+    return a, b
+
+
 def fit_resample_cells(df: DataFrame, folds: DataFrame, make_recipe: Callable[[], Pipeline] | None,
                        make_model: Callable[[Mapping], object], grid: Sequence[Mapping], levels: Sequence[str],
                        key: str = "row_id", label: str = "label", keep: Sequence[str] = (),
@@ -41,10 +56,11 @@ def fit_resample_cells(df: DataFrame, folds: DataFrame, make_recipe: Callable[[]
     """
     resamples = [(r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect()]
     pieces: list[DataFrame] = []
+    tagged = with_folds(df, folds, key)
 
     def run_resample(rf):
         rep, fold = rf
-        analysis, assessment = analysis_assessment(df, folds, rep, fold, key)
+        analysis, assessment = split_resample(tagged, rep, fold)
         if make_recipe is not None:
             prep = make_recipe().fit(analysis)
             a = prep.transform(analysis)
@@ -174,9 +190,11 @@ def rfe(df: DataFrame, folds: DataFrame, features: Sequence[str], sizes: Sequenc
     resamples = [(r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect()]
     features = list(features)
 
+    tagged = with_folds(df, folds, key)
+
     def one(rf):
         rep, fold = rf
-        analysis, assessment = analysis_assessment(df, folds, rep, fold, key)
+        analysis, assessment = split_resample(tagged, rep, fold)
         va = VectorAssembler(inputCols=features, outputCol="features")
         a = va.transform(analysis).persist(StorageLevel.MEMORY_AND_DISK)
         ranker = make_ranker().fit(a)
