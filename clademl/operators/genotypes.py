@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -167,42 +168,76 @@ def index_keys(df: DataFrame, keys: Sequence[str], out: str, seed: int = 0) -> D
     return cut_lineage(with_file_order(k, out))
 
 
-def kinship(g: DataFrame, min_maf: float = MAF_MIN, block: int = 1024) -> DataFrame:
+def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 4096, sample_block: int = 1024) -> DataFrame:
     """Genomic relationship matrix ``(fid_i, iid_i, fid_j, iid_j, g, m)``.
 
     ``z = (x - 2p) / sqrt(2p(1-p))`` per call (variants with MAF >= min_maf),
     ``g_ij = sum_k z_ik z_jk / m_ij`` with ``m_ij`` the variants observed in both.
-    Both sums are distributed block-matrix products ``Z^T Z`` and ``O^T O`` of the
-    variants x samples matrices (no pairwise join per variant).
+
+    A blocked Gram product ``Z^T Z`` / ``O^T O`` in DataFrame operators: calls become
+    dense (variant block x sample block) matrices (``applyInPandas`` per block), block
+    pairs meet on their variant block (a join of blocks, not of rows), each task sums
+    its block products map-side (``mapInPandas``) and ``Summarizer.sum`` adds the
+    partial sums across variant blocks in the JVM. Rows never pair with rows.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
+    BV, BS = int(variant_block), int(sample_block)
     st = variant_stats(g).filter(F.col("maf") >= min_maf).select("variant_id", "p")
-    obs = g.filter(F.col("dosage").isNotNull()).join(st, "variant_id")
+    obs = g.filter(F.col("dosage").isNotNull()).join(st, "variant_id").persist(StorageLevel.MEMORY_AND_DISK)
     vi = index_keys(obs, ["variant_id"], "vi")
     si = index_keys(obs, SAMPLE, "si")
+    zexpr = (F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))
     z = obs.join(vi, "variant_id").join(si, SAMPLE).select(
-        "vi", "si", ((F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z"))
-    z = z.persist(StorageLevel.MEMORY_AND_DISK)
-    nv = vi.count()
-    ns = si.count()
-
-    def gram(col):
-        ent = z.select("vi", "si", col).rdd.map(lambda r: MatrixEntry(r[0], r[1], float(r[2])))
-        bm = CoordinateMatrix(ent, nv, ns).toBlockMatrix(block, block).cache()
-        prod = bm.transpose().multiply(bm)
-        return prod.toCoordinateMatrix().entries.map(lambda e: (int(e.i), int(e.j), float(e.value)))
-
-    spark = g.sparkSession
-    gz = spark.createDataFrame(gram("z"), "i long, j long, g double")
-    z = z.withColumn("one", F.lit(1.0))
-    gm = spark.createDataFrame(gram("one"), "i long, j long, m double")
-    pairs = gm.filter(F.col("m") > 0).join(gz, ["i", "j"], "left").select("i", "j", (F.coalesce("g", F.lit(0.0)) / F.col("m")).alias("g"),
-                                                     F.col("m").cast("long").alias("m"))
+        F.floor(F.col("vi") / BV).alias("vb"), F.floor(F.col("si") / BS).alias("sb"),
+        (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), zexpr.alias("z"))
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        zm = np.zeros((BV, BS))
+        om = np.zeros((BV, BS), dtype=np.uint8)
+        zm[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["z"].to_numpy()
+        om[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = 1
+        return pd.DataFrame({"vb": [key[0]], "sb": [key[1]], "zm": [zm.tobytes()], "om": [om.tobytes()]})
+
+    blocks = z.groupBy("vb", "sb").applyInPandas(build, "vb long, sb long, zm binary, om binary")
+    a = blocks.select("vb", F.col("sb").alias("bi"), F.col("zm").alias("za"), F.col("om").alias("oa"))
+    b = blocks.select("vb", F.col("sb").alias("bj"), F.col("zm").alias("zb"), F.col("om").alias("ob"))
+    pairs = a.join(b, "vb").filter(F.col("bi") <= F.col("bj")).drop("vb")
+
+    def multiply(it):
+        acc = {}
+        for pdf in it:
+            for bi, bj, za, zb, oa, ob in zip(pdf["bi"], pdf["bj"], pdf["za"], pdf["zb"], pdf["oa"], pdf["ob"]):
+                za_ = np.frombuffer(za).reshape(BV, BS)
+                zb_ = np.frombuffer(zb).reshape(BV, BS)
+                oa_ = np.frombuffer(oa, dtype=np.uint8).reshape(BV, BS).astype(np.float64)
+                ob_ = np.frombuffer(ob, dtype=np.uint8).reshape(BV, BS).astype(np.float64)
+                gm, mm = za_.T @ zb_, oa_.T @ ob_
+                if (bi, bj) in acc:
+                    acc[(bi, bj)][0] += gm
+                    acc[(bi, bj)][1] += mm
+                else:
+                    acc[(bi, bj)] = [gm, mm]
+        for (bi, bj), (gm, mm) in acc.items():  # one partial sum per block pair per task
+            yield pd.DataFrame({"bi": [bi], "bj": [bj], "g": [gm.ravel()], "m": [mm.ravel()]})
+
+    prods = pairs.mapInPandas(multiply, "bi long, bj long, g array<double>, m array<double>")
+    summed = prods.groupBy("bi", "bj").agg(Summarizer.sum(array_to_vector("g")).alias("g"),
+                                           Summarizer.sum(array_to_vector("m")).alias("m"))
+    cells = summed.select("bi", "bj", F.arrays_zip(vector_to_array("g").alias("g"), vector_to_array("m").alias("m")).alias("gm")) \
+        .select("bi", "bj", F.posexplode("gm").alias("k", "v"))
+    i = F.col("bi") * BS + F.floor(F.col("k") / BS)
+    j = F.col("bj") * BS + F.col("k") % BS
+    ent = cells.select("bi", "bj", i.alias("i"), j.alias("j"), F.col("v.g").alias("gs"), F.col("v.m").alias("m")) \
+        .filter(F.col("m") > 0)
+    # diagonal block pairs already hold both triangles; off-diagonal ones are mirrored
+    both = ent.select("i", "j", "gs", "m").unionByName(ent.filter(F.col("bi") < F.col("bj")).select(
+        F.col("j").alias("i"), F.col("i").alias("j"), "gs", "m"))
+    pairs_out = both.select("i", "j", (F.col("gs") / F.col("m")).alias("g"), F.col("m").cast("long").alias("m"))
     si_i = si.select(F.col("si").alias("i"), F.col("fid").alias("fid_i"), F.col("iid").alias("iid_i"))
     si_j = si.select(F.col("si").alias("j"), F.col("fid").alias("fid_j"), F.col("iid").alias("iid_j"))
-    out = pairs.join(si_i, "i").join(si_j, "j").select("fid_i", "iid_i", "fid_j", "iid_j", "g", "m")
-    return out
+    return pairs_out.join(si_i, "i").join(si_j, "j").select("fid_i", "iid_i", "fid_j", "iid_j", "g", "m")
 
 
 def dosage_vectors(g: DataFrame, variants: DataFrame | None = None) -> DataFrame:

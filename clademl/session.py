@@ -68,7 +68,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)  # otherwise the checkpoint job computes df twice
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def persist(df: DataFrame) -> DataFrame:

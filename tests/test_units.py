@@ -205,7 +205,9 @@ def test_kinship_matches_pairwise(spark):
             d = None if rng.random() < 0.05 else rng.choice([0, 1, 1, 2])
             rows.append(("F", f"S{s}", f"rs{v}", 1, v, "A", "C", d))
     g = spark.createDataFrame(rows, "fid string, iid string, variant_id string, chrom int, pos long, a1 string, a2 string, dosage int")
-    k = {(r["iid_i"], r["iid_j"]): (r["g"], r["m"]) for r in N.kinship(g, block=4).collect()}
+    got = N.kinship(g, variant_block=8, sample_block=4).collect()
+    assert len(got) == 36  # every ordered sample pair exactly once
+    k = {(r["iid_i"], r["iid_j"]): (r["g"], r["m"]) for r in got}
     # brute force
     by_v = {}
     for _, iid, v, *_rest, d in rows:
