@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str, probs
         long_df = long_df.withColumn("__g", F.lit(0))
         out = exact_quantiles(long_df, ["__g"], value, probs)
         return out.drop("__g")
-    v = long_df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
+    v = long_df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)  # distinct values: read by the running count and the totals
     rt = running_totals(v, value, ["__c"], groups=groups, suffix="_below")
     n = v.groupBy(*groups).agg(F.sum("__c").alias("__n"))
     rt = rt.join(n, groups)

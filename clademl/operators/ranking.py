@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], group
     groups = list(groups)
     sum_cols = list(sum_cols)
     tmp_b = "__rt_bucket"
+    # the input is an aggregate (one row per distinct value) read three times below:
+    # cache it so the raw data behind it is scanned once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     d = df.withColumn("__rt_x", F.col(order_col).cast("double"))
     if groups:
         probs = F.array(*[F.lit(i / group_buckets) for i in range(1, group_buckets)])

@@ -107,7 +107,7 @@ def t1(spark, sf):
     folds = R.vfold(train, v=3, repeats=1, seed=7, strata="label")
     grid = [{"penalty": g["penalty"]} for g in G.grid_log(-3, -1, 3)]
     m = T.tune(train, folds, lambda: E.recipe(fx.FEATURES, ("zv", "corr", "normalize")),
-               lambda c: M.lasso_logit(c["penalty"]), grid, LEVELS, NEG, POS)
+               lambda c: M.lasso_logit(c["penalty"], max_iter=30), grid, LEVELS, NEG, POS)
     return T.with_grid(T.collect_metrics(m), grid)
 
 
@@ -201,7 +201,7 @@ def t7(spark, sf):
     """Two methods x 2 replicates x 2 folds on shared folds -> T8 resample table from the predictions."""
     train, _ = wf.flagship_split(spark, sf)
     folds = R.vfold(train, v=2, repeats=2, seed=11, strata="label")
-    methods = {"RLR": (lambda: E.recipe(fx.FEATURES), lambda c: M.lasso_logit(c["penalty"]), [{"penalty": 0.01}]),
+    methods = {"RLR": (lambda: E.recipe(fx.FEATURES), lambda c: M.lasso_logit(c["penalty"], max_iter=30), [{"penalty": 0.01}]),
                "RF": (lambda: E.recipe(fx.FEATURES), lambda c: M.forest(trees=20, mtry=8, min_n=3), [{"trees": 20}])}
     preds = T.train_many(train, folds, methods, LEVELS)
     m = V.metric_set(preds, "label", "pred_class", f"pred_{NEG}", NEG, POS, by=["method", "repeat", "fold"])
