@@ -193,7 +193,7 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 4096, s
         F.floor(F.col("vi") / BV).alias("vb"), F.floor(F.col("si") / BS).alias("sb"),
         (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), zexpr.alias("z"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         zm = np.zeros((BV, BS))
         om = np.zeros((BV, BS), dtype=np.uint8)
         zm[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["z"].to_numpy()

@@ -62,7 +62,7 @@ def s4(spark, sf):
 
 
 @query("s10_read_lines",
-       "SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars FROM ("
+       "SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ("
        "SELECT doc_id, regexp_replace(l, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS line "
        "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) "
        "WHERE length(line) > 0 GROUP BY doc_id")
