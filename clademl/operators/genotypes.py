@@ -135,11 +135,30 @@ def qc_filter(g: DataFrame, max_missing: float = GENO_MAX, min_maf: float = MAF_
 
 
 def bp_space(g: DataFrame, d: int = 1) -> DataFrame:
-    """N7 (d=1): one variant per (chrom, pos): the lowest variant id."""
-    if d != 1:
-        raise NotImplementedError("only d = 1 (distinct sites) is supported")
+    """Thin variants closer than ``d`` bp.
+
+    d = 1: one variant per (chrom, pos), the lowest variant id (a plain aggregate).
+    d > 1: greedy from the start of each chromosome -- keep a site, drop every site
+    closer than ``d`` to the last kept one. The scan is sequential, so it runs per
+    chromosome in ``applyInPandas`` over the distinct *sites* (not the calls); the
+    kept variants then filter the calls with a semi join.
+    """
     first = g.groupBy("chrom", "pos").agg(F.min("variant_id").alias("variant_id"))
-    return _keep(g, first)
+    if d <= 1:
+        return _keep(g, first)
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant_id"])
+        keep, last = [], None
+        for pos in pdf["pos"].to_numpy():
+            ok = last is None or pos - last >= d
+            keep.append(ok)
+            if ok:
+                last = pos
+        return pdf.loc[keep, ["variant_id"]]
+
+    kept = first.groupBy("chrom").applyInPandas(greedy, "variant_id string")
+    return _keep(g, kept)
 
 
 def impute_dosage(g: DataFrame, how: str = "mean") -> DataFrame:

@@ -89,3 +89,19 @@ def n10(spark, sf):
     arr = vector_to_array("features")
     return v.select("fid", "iid", F.size(arr).cast("long").alias("size"),
                     F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("dosage_sum"))
+
+
+_GREEDY_SQL = (
+    "WITH RECURSIVE " + FX5_SQL + ", x AS (SELECT chrom, pos * 37 + length(variant_id) AS pos, variant_id FROM fx5), "
+    "s AS (SELECT chrom, pos, min(variant_id) AS variant_id FROM x GROUP BY chrom, pos), "
+    "k(chrom, pos) AS (SELECT chrom, min(pos) FROM s GROUP BY chrom UNION ALL "
+    "SELECT k.chrom, (SELECT min(s.pos) FROM s WHERE s.chrom = k.chrom AND s.pos >= k.pos + 50) FROM k WHERE k.pos IS NOT NULL) "
+    "SELECT s.chrom, s.pos, s.variant_id FROM s JOIN k ON s.chrom = k.chrom AND s.pos = k.pos")
+
+
+@query("n7_bp_space_greedy", _GREEDY_SQL)
+def n7g(spark, sf):
+    """d = 50 bp greedy thinning per chromosome; the oracle walks the same rule with a recursive CTE."""
+    g = fx.fx5(spark, sf)
+    g = g.withColumn("pos", F.col("pos") * 37 + F.length("variant_id"))  # spread sites so d matters
+    return N.bp_space(g, 50).select("chrom", "pos", "variant_id").distinct()

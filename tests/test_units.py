@@ -281,3 +281,14 @@ def test_set_ops(spark):
     assert sorted((r["row_id"], r["label"]) for r in u) == [(1, "x"), (2, None)]
     with pytest.raises(ValueError):
         P.union_strict(a, b)
+
+
+def test_bp_space_greedy(spark):
+    rows = [("F", "S1", f"rs{i}", c, p, "A", "C", 1) for i, (c, p) in enumerate(
+        [(1, 100), (1, 100), (1, 104), (1, 105), (1, 111), (1, 200), (2, 100), (2, 102)])]
+    g = spark.createDataFrame(rows, "fid string, iid string, variant_id string, chrom int, pos long, a1 string, a2 string, dosage int")
+    d1 = sorted(r["variant_id"] for r in N.bp_space(g, 1).collect())
+    assert d1 == ["rs0", "rs2", "rs3", "rs4", "rs5", "rs6", "rs7"]  # same site -> lowest id
+    d5 = sorted(r["variant_id"] for r in N.bp_space(g, 5).collect())
+    # chrom 1: 100 kept, 104 (<5) dropped, 105 kept, 111 kept, 200 kept; chrom 2: 100 kept, 102 dropped
+    assert d5 == ["rs0", "rs3", "rs4", "rs5", "rs6"]
