@@ -53,15 +53,13 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str, probs
     count (bucketed), one filter keeping at most two rows per (group, prob).
     """
     groups = list(groups)
-    if not groups:
-        long_df = long_df.withColumn("__g", F.lit(0))
-        out = exact_quantiles(long_df, ["__g"], value, probs)
-        return out.drop("__g")
     v = long_df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c")) \
         .persist(StorageLevel.MEMORY_AND_DISK)  # distinct values: read by the running count and the totals
     rt = running_totals(v, value, ["__c"], groups=groups, suffix="_below")
-    n = v.groupBy(*groups).agg(F.sum("__c").alias("__n"))
-    rt = rt.join(n, groups)
+    if groups:
+        rt = rt.join(v.groupBy(*groups).agg(F.sum("__c").alias("__n")), groups)
+    else:  # one total: a scalar, attached as a literal
+        rt = rt.withColumn("__n", F.lit(v.agg(F.sum("__c")).first()[0] or 0).cast("long"))
     rows = []
     for name, p in probs.items():
         h = (F.col("__n") - 1) * F.lit(float(p)) + 1
@@ -74,7 +72,8 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str, probs
     jhi = F.least(F.col("__j") + 1, F.col("__n"))
     d = d.filter(((jlo > lo) & (jlo <= hi)) | ((jhi > lo) & (jhi <= hi)))
     d = d.withColumn("__is_lo", (jlo > lo) & (jlo <= hi)).withColumn("__is_hi", (jhi > lo) & (jhi <= hi))
-    agg = d.groupBy(*groups, "__name").agg(
+    keys = groups or [F.lit(0).alias("__g")]
+    agg = d.groupBy(*keys, "__name").agg(
         F.max(F.when(F.col("__is_lo"), F.col(value))).alias("__xlo"),
         F.max(F.when(F.col("__is_hi"), F.col(value))).alias("__xhi"),
         F.first("__h").alias("__h"), F.first("__j").alias("__j"))

@@ -62,8 +62,7 @@ def global_rank(df: DataFrame, key: str | Column, strata: Sequence[str] = (), ti
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
-                   n_buckets: int = 1024, rel_err: float = 0.001, suffix: str = "_below",
-                   group_buckets: int = 128) -> DataFrame:
+                   n_buckets: int = 1024, rel_err: float = 0.001, suffix: str = "_below") -> DataFrame:
     """For each row, sums of ``sum_cols`` over rows of the same group with a strictly
     smaller ``order_col`` (columns ``<col><suffix>``). ``df`` should hold one row per
     distinct (group, order value) -- aggregate first -- so ties never split.
@@ -81,10 +80,18 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], group
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     d = df.withColumn("__rt_x", F.col(order_col).cast("double"))
     if groups:
-        probs = F.array(*[F.lit(i / group_buckets) for i in range(1, group_buckets)])
+        # per-group bounds; bucket = number of bounds below x, found by a two-level search
+        # (32 coarse bounds, then 32 fine ones) instead of scanning all of them
+        fan = 32
+        nb = fan * fan
+        probs = F.array(*[F.lit(i / nb) for i in range(1, nb)])
         bounds = d.groupBy(*groups).agg(F.percentile_approx("__rt_x", probs, int(1 / rel_err)).alias("__rt_s"))
-        d = d.join(bounds, groups, "left").withColumn(
-            tmp_b, F.size(F.filter(F.col("__rt_s"), lambda s: s < F.col("__rt_x"))).cast("double")).drop("__rt_s")
+        x, sp = F.col("__rt_x"), F.col("__rt_s")
+        coarse = F.transform(F.sequence(F.lit(0), F.lit(fan - 2)), lambda k: F.element_at(sp, k * fan + fan))
+        c = F.size(F.filter(coarse, lambda v: v < x))
+        fine = F.slice(sp, c * fan + 1, F.lit(fan))
+        bucket = c * fan + F.size(F.filter(fine, lambda v: v < x))
+        d = d.join(bounds, groups, "left").withColumn(tmp_b, bucket.cast("double")).drop("__rt_s")
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         qs = df.approxQuantile(order_col, probs, rel_err) if n_buckets > 1 else []
