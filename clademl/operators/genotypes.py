@@ -8,7 +8,6 @@ variants; the kinship matrix is a blocked distributed matrix product.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,9 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import order_key
 from .quality import drop_samples
-from .ranking import global_rank
 
 # Plink filter thresholds of the genotype chain.
 MAF_MIN = 0.01

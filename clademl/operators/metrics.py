@@ -9,7 +9,6 @@ then take bucketed running totals over the scores (no global sort in one task).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,18 +113,21 @@ def roc_curve(preds: DataFrame, truth: str, score: str, event: str, by=()) -> Da
 
     Columns ``(by..., threshold, fpr_pct, tpr_pct)``.
     """
-    r = _with_below(score_table(preds, truth, score, event, by), score, by)
-    tot = r.groupBy(*_by(by)).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    r = r.join(tot, _by(by)) if _by(by) else r.withColumns({"__P": F.sum("pos").over(_all()), "__N": F.sum("neg").over(_all())})
+    r = _with_totals(_with_below(score_table(preds, truth, score, event, by), score, by), _by(by))
     return r.select(*_by(by), F.col(score).alias("threshold"),
                     (100 * safe_div(F.col("__N") - F.col("neg_below"), F.col("__N"))).alias("fpr_pct"),
                     (100 * safe_div(F.col("__P") - F.col("pos_below"), F.col("__P"))).alias("tpr_pct"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+def _with_totals(r: DataFrame, b: list[str]) -> DataFrame:
+    """Attach the group's event / non-event totals ``__P``, ``__N``: a grouped aggregate
+    joined back, or -- ungrouped -- one scalar row attached as literals (never a window
+    over all distinct scores in one task)."""
+    if b:
+        tot = r.groupBy(*b).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+        return r.join(tot, b)
+    row = r.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    return r.withColumns({"__P": F.lit(row["P"] or 0).cast("long"), "__N": F.lit(row["N"] or 0).cast("long")})
 
 
 def auc_ci(preds: DataFrame, truth: str, score: str, event: str, by=(), z: float = Z_975) -> DataFrame:
@@ -135,16 +137,11 @@ def auc_ci(preds: DataFrame, truth: str, score: str, event: str, by=(), z: float
     for non-events ``(pos_above + pos/2)/P``; variances are sample variances.
     """
     b = _by(by)
-    r = _with_below(score_table(preds, truth, score, event, by), score, by)
-    tot = r.groupBy(*b).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N")) if b else None
-    if b:
-        r = r.join(tot, b)
-    else:
-        r = r.withColumns({"__P": F.sum("pos").over(_all()), "__N": F.sum("neg").over(_all())})
+    r = _with_totals(_with_below(score_table(preds, truth, score, event, by), score, by), b)
     v10 = (F.col("neg_below") + F.col("neg") / 2) / F.col("__N")
     pos_above = F.col("__P") - F.col("pos_below") - F.col("pos")
     v01 = (pos_above + F.col("pos") / 2) / F.col("__P")
-    s = r.groupBy(*b).agg(
+    s = r.groupBy(*(b or [F.lit(0).alias("__g")])).agg(
         F.first("__P").alias("P"), F.first("__N").alias("N"),
         F.sum(F.col("pos") * v10).alias("s10"), F.sum(F.col("pos") * v10 * v10).alias("q10"),
         F.sum(F.col("neg") * v01).alias("s01"), F.sum(F.col("neg") * v01 * v01).alias("q01"))

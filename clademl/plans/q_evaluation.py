@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import order_key
 from ..operators import aggregate as A
 from ..operators import discovery as D
 from ..operators import grids as G

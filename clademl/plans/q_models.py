@@ -6,9 +6,7 @@ library defaults stay the reference's grid sizes.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..operators import genotypes as N
