@@ -1,0 +1,99 @@
+"""Whole-text encoding through a memo of space-delimited chunks (used inside tasks)."""
+
+from __future__ import annotations
+
+import json
+import re
+from array import array
+
+#: A space next to other white space: such texts are encoded whole.
+_ADJACENT = re.compile(r" (?=\s)|\s(?= )")
+
+
+class Memo(dict):
+    """``memo[chunk]`` computes and keeps a value; emptied at ``limit`` entries (values never change)."""
+
+    def __init__(self, compute, limit: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.compute, self.limit, self.longest = compute, limit, longest
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in plain}
+    out.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
+    return out
+
+
+class ByteBpe:
+    """Ids of a byte-level BPE file of the ``tokenizers`` library.
+
+    A chunk that starts at a single space between two non-space characters is pre-tokenised on its
+    own, so the ids of a text are the ids of its chunks in a row. Chunks are encoded once each, with
+    ``tiktoken`` over the same vocabulary; texts with special strings or with a space next to other
+    white space are encoded whole, the former by ``tokenizers`` itself.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = _byte_alphabet()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()
+                 if token not in self.special}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.first, self.rest = Memo(self._packed, 50_000), Memo(lambda c: self._packed(" " + c))
+
+    def _packed(self, chunk: str) -> bytes:
+        return array("I", self.fast.encode_ordinary(chunk)).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, without added special tokens."""
+        if any(s in text for s in self.special):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if _ADJACENT.search(text):
+            return self._packed(text)
+        parts = text.split(" ")
+        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+
+
+class PieceCounter:
+    """Token counts of a ``sentencepiece`` model.
+
+    If the model does not normalise, adds a space in front and has no piece with a space mark after
+    another character, merges never cross a space between two non-space characters, and a text's
+    count is the sum over its space-delimited chunks. Otherwise whole texts are encoded.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        mark = "▁"
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        probe = "ﬁ ①́ x　​  y "  # NFKC, width or space clean-up would change this
+        self.mark = mark
+        self.by_chunk = (all(mark not in p.lstrip(mark) for p in pieces)
+                         and self.model.normalize(probe) == mark + probe.replace(" ", mark))
+        self.memo = Memo(lambda c: len(self.model.encode(c)))
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        if not self.by_chunk or self.mark in text or text[0] == " " or text[-1] == " " or _ADJACENT.search(text):
+            return len(self.model.encode(text))
+        return sum(map(self.memo.__getitem__, text.split(" ")))
