@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clademl.llm.chunks import ByteBpe
+from clademl.llm.encoders import ByteBpe
 from clademl.llm.common import stored
 
 END_ID = 1

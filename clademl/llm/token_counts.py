@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademl.llm.chunks import PieceCounter
+from clademl.llm.encoders import PieceModel
 from clademl.llm.common import shared_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -63,9 +63,9 @@ def count_tokens(docs: DataFrame, cache_path: str, model: str | None = None, lim
                .join(known.select("digest").distinct(), "digest", "left_anti"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PieceCounter(model or default_model())
+        pieces = PieceModel(model or default_model())
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "tokenizer": version, "n_tokens": [counter.count(t) for t in b["text"]]})
+            yield pd.DataFrame({"digest": b["digest"], "tokenizer": version, "n_tokens": [len(pieces.ids(t)) for t in b["text"]]})
 
     missing.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache_path)
     counts = (read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
