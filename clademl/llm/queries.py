@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import packing, token_counts
+from clademl.llm import decontaminate, minhash, packing, token_counts
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,21 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+@_query("op2_decontaminate_fm_index", decontaminate.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @_query("op5_pack_concat_cut")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+@_query("op6_near_duplicates", minhash.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.new_cache_path(spark))
