@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, minhash, packing, token_counts
+from clademl.llm import decontaminate, minhash, packing, pii, token_counts
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@_query("op4_personal_data_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 @_query("op5_pack_concat_cut")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
