@@ -99,10 +99,19 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[s][0], "end": at[e - 1][1]} for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def without(text: str | None, spans: list[dict]) -> str | None:
+    """The text with its spans cut out; the gap keeps the space or line around it."""
+    if not spans:
+        return text
+    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000,
-                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_cleaned: bool = False) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, item_ids`` (as strings, sorted) and removal ``spans``
-    (code points, end exclusive), with the columns of ``docs`` named in ``keep``.
+    (code points, end exclusive), with the columns of ``docs`` named in ``keep`` and, on request,
+    the ``cleaned`` text without the spans.
 
     A window is ``window`` consecutive words of a test item, or the whole item if it is shorter. Each
     task cuts its rows into shards of about ``shard_words`` words (a longer document is a shard of
@@ -141,6 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
             shard["n_hit"] = [int(h.sum()) for _, h, _ in found]
             shard["item_ids"] = [sorted(i) for _, _, i in found]
             shard["spans"] = [_spans(t, h) if i else [] for t, (_, h, i) in zip(shard["text"], found, strict=True)]
+            if with_cleaned:
+                shard["cleaned"] = [without(t, x) for t, x in zip(texts, shard["spans"], strict=True)]
             return shard if "text" in keep else shard.drop(columns="text")
 
         held, size = [], 0
@@ -161,7 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     fields = [f for f in rows.schema.fields if f.name != "text" or "text" in keep]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-                           T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", span)])
+                           T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", span),
+                           *([T.StructField("cleaned", T.StringType())] if with_cleaned else [])])
     return rows.mapInPandas(run, schema)
 
 

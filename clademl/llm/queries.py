@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, minhash, packing, pii, token_counts
+from clademl.llm import decontaminate, minhash, packing, pii, token_counts, toxicity
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+@_query("op1_toxicity_bigru")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 @_query("op2_decontaminate_fm_index", decontaminate.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
