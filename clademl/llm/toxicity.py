@@ -17,28 +17,31 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 CHAR_BUCKETS = 4096
 #: Windows of so many words, one every ``STRIDE``; all windows of a text are scored.
 WINDOW, STRIDE = 64, 48
+FOLDS = 5
 THRESHOLD = 0.7
 
 
 @dataclass
 class Model:
-    """Weights by name, the word vocabulary (row 0: any other word) and the calibration of a text's score."""
+    """Weights by name, the word vocabulary (row 0: any other word), the smoothed log odds of its words
+    among toxic texts, and the calibration of a text's score."""
 
     vocab: dict[bytes, int]
+    odds: np.ndarray
     w: dict[str, np.ndarray] = field(default_factory=dict)
     scale: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def fresh(cls, vocab: dict[bytes, int], seed: int) -> Model:
+    def fresh(cls, vocab: dict[bytes, int], odds: np.ndarray, seed: int) -> Model:
         rng = np.random.default_rng(seed)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        d, h = WORD_DIM + CHAR_DIM + 1, HIDDEN
         normal = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
-        w = {"word": normal(len(vocab) + 1, WORD_DIM, by=0.1), "char": normal(CHAR_BUCKETS, CHAR_DIM, by=0.2),
+        w = {"word": normal(len(vocab) + 1, WORD_DIM, by=0.05), "char": normal(CHAR_BUCKETS, CHAR_DIM, by=0.1),
              "att": normal(ATTEND, 2 * h, by=0.3), "att_b": np.zeros(ATTEND, np.float32), "att_v": normal(ATTEND, by=0.3),
              "out": normal(2 * h, by=0.3), "out_b": np.full(1, -2.0, np.float32)}
         for side in "fb":
             w |= {f"x{side}": normal(d, 3 * h, by=0.3), f"b{side}": np.zeros(3 * h, np.float32), f"u{side}": normal(3 * h, h, by=0.3)}
-        return cls(vocab, w)
+        return cls(vocab, odds, w)
 
 
 def char_buckets(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +55,21 @@ def char_buckets(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_inputs(model: Model, ws: list[bytes], known: np.ndarray | None = None) -> np.ndarray:
-    """Word embedding and mean character-trigram embedding of each distinct word."""
+    """Word embedding, mean character-trigram embedding and log odds of each distinct word."""
     known = np.fromiter((model.vocab.get(w, 0) for w in ws), np.int64, len(ws)) if known is None else known
     flat, first = char_buckets(ws)
     sizes = np.diff(np.append(first, len(flat)))
     chars = np.add.reduceat(model.w["char"][flat], first, axis=0) / sizes[:, None].astype(np.float32)
-    return np.concatenate((model.w["word"][known], chars), axis=1)
+    return np.concatenate((model.w["word"][known], chars, model.odds[known, None]), axis=1)
+
+
+def log_odds(docs: list[set[int]], labels: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log odds ``(size,)`` of each word in toxic against other texts, by texts that hold it."""
+    count = np.zeros((2, size))
+    for d, y in zip(docs, labels, strict=True):
+        count[int(y), list(d)] += 1
+    share = (count + 0.5) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1)
+    return np.where(count.sum(axis=0) < 3, 0, np.log(share[1] / share[0])).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,11 +215,11 @@ class Scorer:
         return 1 / (1 + np.exp(-(a * self.logits(texts).astype(np.float64) + b)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 14, rate: float = 0.01, seed: int = 11,
+def train(texts: list[str | None], labels: np.ndarray, steps: int = 200, rate: float = 0.01, seed: int = 11,
           max_vocab: int = 20_000, batch: int = 256) -> Model:
     """Fit on labelled texts. A text is as toxic as its most toxic window: the first epochs give all
-    windows the label of their text, later ones train the windows that score highest. A fifth of
-    the texts is kept aside to calibrate the score (logistic regression on the largest logit)."""
+    windows the label of their text, later ones train the windows that score highest. There are at
+    least ``steps`` steps and at least 14 epochs. A fifth of the texts is kept aside to calibrate the score (logistic regression on the largest logit)."""
     rng = np.random.default_rng(seed)
     docs = [words(t) for t in texts]
     seen: dict[bytes, int] = {}
@@ -215,11 +227,16 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 14, rate: f
         for w in set(d):
             seen[w] = seen.get(w, 0) + 1
     common = sorted((w for w, c in seen.items() if c >= 4), key=lambda w: (-seen[w], w))[:max_vocab]
-    model = Model.fresh({w: i + 1 for i, w in enumerate(common)}, seed)
+    vocab = {w: i + 1 for i, w in enumerate(common)}
     if not len(labels) or labels.min() == labels.max():
-        return model
+        return Model.fresh(vocab, np.zeros(len(vocab) + 1, np.float32), seed)
     aside = rng.random(len(docs)) < 0.2
     use = np.flatnonzero(~aside)
+    bags = [{vocab[w] for w in set(docs[i]) if w in vocab} for i in use]
+    model = Model.fresh(vocab, log_odds(bags, labels[use], len(vocab) + 1), seed)
+    fold = rng.integers(0, FOLDS, len(use))  # a training text meets odds from the other folds only
+    others = [np.flatnonzero(fold != f) for f in range(FOLDS)]
+    odds = np.stack([log_odds([bags[i] for i in o], labels[use[o]], len(vocab) + 1) for o in others])
     all_words = sorted(seen)
     index = {w: i for i, w in enumerate(all_words)}
     known = np.fromiter((model.vocab.get(w, 0) for w in all_words), np.int64, len(all_words))
@@ -234,9 +251,12 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 14, rate: f
     label = labels[use].astype(np.float32)
     weight = np.where(label > 0, 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3)).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.w.items()}
-    step = 0
-    for epoch in range(epochs):
-        if epoch < 4:
+    step = epoch = 0
+    rows_rate = min(1.0, float(label.sum()) / 1000)  # rows of the embeddings see few toxic texts each
+    batch = int(np.clip(len(use) / 12, 32, batch))
+    while epoch < 14 or step < steps:
+        epoch += 1
+        if epoch <= 4 or step < 0.3 * steps:
             chosen = rng.permutation(len(doc))
             chosen = chosen[np.argsort(doc[chosen], kind="stable")]
             rank = np.arange(len(chosen)) - np.searchsorted(doc[chosen], doc[chosen])
@@ -251,13 +271,15 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 14, rate: f
         for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
             step += 1
             place = np.where(np.arange(WINDOW) < length[part, None], at[part, None] + np.arange(WINDOW), len(ids) - 1)
-            ws, local = np.unique(ids[place], return_inverse=True)
+            both = np.where(ids[place] == pad, pad * FOLDS, ids[place] * FOLDS + fold[doc[part]][:, None])
+            ws, local = np.unique(both, return_inverse=True)
             local = local.reshape(place.shape)
-            real = ws[ws < pad]
-            dropped = np.where(rng.random(len(real)) < 0.15, 0, known[real])
+            ws = ws[ws < pad * FOLDS]
+            real = ws // FOLDS
+            dropped = np.where(rng.random(len(real)) < 0.3, 0, known[real])
             char_at = np.repeat(first[real], char_sizes[real]) + _within(char_sizes[real])
             chars = np.add.reduceat(model.w["char"][flat[char_at]], np.cumsum(char_sizes[real]) - char_sizes[real], axis=0) / char_sizes[real][:, None].astype(np.float32) if len(real) else np.zeros((0, CHAR_DIM), np.float32)
-            inputs = np.concatenate((model.w["word"][dropped], chars), axis=1)
+            inputs = np.concatenate((model.w["word"][dropped], chars, odds[ws % FOLDS, known[real]][:, None]), axis=1)
             table = gate_tables(model, inputs)
             local = np.where(ids[place] == pad, len(real), local)
             tr: dict = {}
@@ -274,13 +296,13 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 14, rate: f
                 d_in += rows @ model.w[f"x{s}"].T
             grad["word"], grad["char"] = np.zeros_like(model.w["word"]), np.zeros_like(model.w["char"])
             np.add.at(grad["word"], dropped, d_in[:, :WORD_DIM])
-            np.add.at(grad["char"], flat[char_at], np.repeat(d_in[:, WORD_DIM:] / char_sizes[real][:, None], char_sizes[real], axis=0))
+            np.add.at(grad["char"], flat[char_at], np.repeat(d_in[:, WORD_DIM:-1] / char_sizes[real][:, None], char_sizes[real], axis=0))
             for k, v in model.w.items():
                 m, s2 = moment[k]
                 g = grad[k] + 1e-5 * v
                 m += 0.1 * (g - m)
                 s2 += 0.001 * (g * g - s2)
-                v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.999**step)) + 1e-8)
+                v -= (rate * rows_rate if k in ("word", "char") else rate) * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.999**step)) + 1e-8)
     held = np.flatnonzero(aside) if aside.any() and labels[aside].min() < labels[aside].max() else use
     model.scale = _calibrate(Scorer(model).logits([texts[i] for i in held]).astype(float), labels[held].astype(float))
     return model
