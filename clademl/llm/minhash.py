@@ -33,7 +33,7 @@ _KEY_ADD = _RNG.integers(1, 1 << 63, (CHUNKS, WIDTH), dtype=np.uint64)
 class WordHashes(dict):
     """64-bit hash of each word, kept up to ``limit`` entries."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

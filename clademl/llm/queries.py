@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, minhash, packing, pii, token_counts, toxicity
+from clademl.llm import decontaminate, minhash, packing, pii, secrets, token_counts, toxicity
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.new_cache_path(spark))
+
+
+@_query("op9_secret_scan_trigrams")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
