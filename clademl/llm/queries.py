@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, minhash, packing, pii, secrets, token_counts, toxicity
+from clademl.llm import decontaminate, minhash, packing, pii, pivots, secrets, token_counts, toxicity
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_secret_scan_trigrams")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@_query("op10_embedding_pivot_index", pivots.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
