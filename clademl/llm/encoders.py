@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from functools import cached_property
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -24,18 +25,24 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_alphabet()
         self.special = [t["content"] for t in spec["added_tokens"]]
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()
-                 if token not in self.special}
+        vocab = spec["model"]["vocab"]
+        self.size = 1 + max(*vocab.values(), *(t["id"] for t in spec["added_tokens"]))
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without added special tokens."""
         if not any(s in text for s in self.special):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, lm, minhash, packing, pii, pivots, secrets, token_counts, toxicity
+from clademl.llm import decontaminate, lm, minhash, packing, pii, pivots, secrets, suffixes, token_counts, toxicity
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@_query("op3_repeated_passages", suffixes.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @_query("op4_personal_data_crf")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
