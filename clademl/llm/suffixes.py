@@ -17,7 +17,7 @@ from clademl.llm.minhash import WordHashes, _mix
 #: ``SPREAD`` grams in a row, so every ``LENGTH`` words hold a minimiser gram, at most ``SPREAD - 1`` words in.
 LENGTH, GRAM = 50, 25
 SPREAD = LENGTH - GRAM + 1
-#: Larger groups of suffixes with one first gram are matched by hashes of whole windows.
+#: Larger groups of suffixes with one first gram are dealt out further.
 GROUP = 20_000
 
 
@@ -155,35 +155,44 @@ def repeated_passages(docs: DataFrame, group: int = GROUP, id_col: str = "doc_id
             out = []
             for i, t, found in zip(b["doc_id"], b["text"], b["places"], strict=True):
                 h = word_hashes(t, memo)
-                grams, windows = gram_hashes(h, GRAM), None
+                grams, here = gram_hashes(h, GRAM).view(np.int64), {}
                 for x in found:
                     p = int(x["at"])
-                    if p >= len(grams):  # another text under the same id
-                        continue
-                    if x["hot"]:
-                        windows = gram_hashes(h, LENGTH) if windows is None else windows
-                        for s in range(max(0, p - SPREAD + 1), min(p, len(windows) - 1) + 1):
-                            out.append((int(windows[s].view(np.int64)), i, s, True, None, None))
-                    else:
-                        out.append((int(grams[p].view(np.int64)), i, p, False, *_context(h, p)))
-            yield pd.DataFrame(out, columns=["gram", "doc_id", "at", "hot", "after", "before"])
+                    if p < len(grams):  # else the place is of another text under the same id
+                        here.setdefault((int(grams[p]), i, bool(x["hot"]), *_context(h, p)), []).append(p)
+                out += [(*k, at) for k, at in here.items()]  # a text that repeats itself gives one row
+            yield pd.DataFrame(out, columns=["gram", "doc_id", "hot", "after", "before", "at"])
 
     around = stored(rows.join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
-                    .mapInPandas(contexts, "gram long, doc_id long, at int, hot boolean, after binary, before binary"), "contexts")
+                    .mapInPandas(contexts, "gram long, doc_id long, hot boolean, after binary, before binary, at array<int>"), "contexts")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _whole_groups(batches, "gram"):
+        for g in _whole_groups(batches, "key"):
             right, right_len = _matrix(g["after"])
             left, left_len = _matrix(g["before"])
-            mask = window_masks(g["gram"].to_numpy(), g["doc_id"].to_numpy(np.int64), right, right_len, left, left_len)
+            mask = window_masks(g["key"].to_numpy(), g["doc_id"].to_numpy(np.int64), right, right_len, left, left_len)
             hit = mask > 0
             yield pd.DataFrame({"doc_id": g["doc_id"][hit], "at": g["at"][hit], "mask": mask[hit]})
 
-    cold = (around.filter(~F.col("hot")).drop("hot").repartition("gram").sortWithinPartitions("gram", "after")
-            .mapInPandas(match, "doc_id long, at int, mask long"))
-    hot = around.filter("hot").select("gram", "doc_id", "at").distinct()
-    twice = hot.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
-    windows = cold.unionByName(hot.join(twice, "gram").select("doc_id", "at", F.lit(1).cast("long").alias("mask")))
+    half, words = SPREAD // 2, SPREAD - 1  # what two windows share beyond the gram is half on one side at least
+    cold = around.filter(~F.col("hot")).withColumn("key", F.col("gram")).drop("hot", "gram")
+    sides = around.filter("hot").select("*", F.explode(F.array(F.lit("after"), F.lit("before"))).alias("side"))
+    text = F.when(F.col("side") == "after", F.col("after")).otherwise(F.col("before"))
+    sides = (sides.filter(F.octet_length(text) >= 4 * half)
+             .withColumn("key", F.xxhash64("gram", "side", F.substring(text, 1, 4 * half))))
+    sizes = sides.groupBy("key").agg((F.count(F.lit(1)) > group).alias("large"))
+    sides = sides.join(sizes, "key")
+    dealt = cold.unionByName(sides.filter(~F.col("large")).select(*cold.columns))
+    near = (dealt.repartition("key").sortWithinPartitions("key", "after").mapInPandas(match, "doc_id long, at array<int>, mask long"))
+
+    whole = (sides.filter("large").select("gram", "doc_id", "after", "before", "at").distinct()
+             .select("*", F.explode(F.sequence(F.lit(0), F.lit(words))).alias("l"))
+             .filter((F.octet_length("before") >= 4 * F.col("l")) & (F.octet_length("after") >= 4 * (words - F.col("l"))))
+             .select("doc_id", "at", "l", F.xxhash64("gram", "l", F.substring("before", F.lit(1), 4 * F.col("l")),
+                                                     F.substring("after", F.lit(1), 4 * (words - F.col("l")))).alias("window")))
+    twice = whole.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("window")
+    far = whole.join(twice, "window").select("doc_id", "at", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l")).alias("mask"))
+    windows = near.unionByName(far)
     found = windows.groupBy(F.col("doc_id").alias("low")).agg(F.collect_list(F.struct("at", "mask")).alias("found"))
     by_class = classes.select("words", "low", (F.col("low") < F.col("top")).alias("copied")).join(found, "low", "left").drop("low")
 
@@ -195,7 +204,7 @@ def repeated_passages(docs: DataFrame, group: int = GROUP, id_col: str = "doc_id
                 if not pd.isna(i) and copied is not None and copied == True:  # noqa: E712  (a numpy bool or null)
                     hit[:] = True
                 elif not pd.isna(i) and found is not None:
-                    starts = [int(x["at"]) - l for x in found for l in range(SPREAD) if int(x["mask"]) >> l & 1]
+                    starts = [int(p) - l for x in found for l in range(SPREAD) if int(x["mask"]) >> l & 1 for p in x["at"]]
                     hit = coverage(n, np.array([s for s in starts if 0 <= s <= n - LENGTH], np.int64))
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 count.append(int(hit.sum()))
