@@ -13,7 +13,19 @@ from clademl.session import checkpoint_dir
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+#: Rows handed to Python at once: rows here are whole texts, and Spark's own default is 10,000.
+ARROW_ROWS = 1000
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for the session, unless it has a smaller bound already."""
+    if not 0 < int(spark.conf.get(_ARROW_CONF)) <= ARROW_ROWS:
+        spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

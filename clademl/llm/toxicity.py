@@ -63,11 +63,11 @@ def word_inputs(model: Model, ws: list[bytes], known: np.ndarray | None = None)
     return np.concatenate((model.w["word"][known], chars, model.odds[known, None]), axis=1)
 
 
-def log_odds(docs: list[set[int]], labels: np.ndarray, size: int) -> np.ndarray:
+def log_odds(docs: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds ``(size,)`` of each word in toxic against other texts, by texts that hold it."""
     count = np.zeros((2, size))
     for d, y in zip(docs, labels, strict=True):
-        count[int(y), list(d)] += 1
+        count[int(y), d] += 1
     share = (count + 0.5) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1)
     return np.where(count.sum(axis=0) < 3, 0, np.log(share[1] / share[0])).astype(np.float32)
 
@@ -221,29 +221,28 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = 200, rate: f
     windows the label of their text, later ones train the windows that score highest. There are at
     least ``steps`` steps and at least 14 epochs. A fifth of the texts is kept aside to calibrate the score (logistic regression on the largest logit)."""
     rng = np.random.default_rng(seed)
-    docs = [words(t) for t in texts]
-    seen: dict[bytes, int] = {}
+    index: dict[bytes, int] = {}
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in words(t)), np.int32) for t in texts]
+    all_words = list(index)
+    seen = np.zeros(len(all_words), np.int64)
     for d in docs:
-        for w in set(d):
-            seen[w] = seen.get(w, 0) + 1
-    common = sorted((w for w, c in seen.items() if c >= 4), key=lambda w: (-seen[w], w))[:max_vocab]
+        seen[np.unique(d)] += 1
+    common = [all_words[i] for i in np.lexsort((np.arange(len(seen)), -seen)) if seen[i] >= 4][:max_vocab]
     vocab = {w: i + 1 for i, w in enumerate(common)}
     if not len(labels) or labels.min() == labels.max():
         return Model.fresh(vocab, np.zeros(len(vocab) + 1, np.float32), seed)
     aside = rng.random(len(docs)) < 0.2
     use = np.flatnonzero(~aside)
-    bags = [{vocab[w] for w in set(docs[i]) if w in vocab} for i in use]
+    known = np.fromiter((vocab.get(w, 0) for w in all_words), np.int64, len(all_words))
+    bags = [np.setdiff1d(known[docs[i]], [0]) for i in use]
     model = Model.fresh(vocab, log_odds(bags, labels[use], len(vocab) + 1), seed)
     fold = rng.integers(0, FOLDS, len(use))  # a training text meets odds from the other folds only
     others = [np.flatnonzero(fold != f) for f in range(FOLDS)]
     odds = np.stack([log_odds([bags[i] for i in o], labels[use[o]], len(vocab) + 1) for o in others])
-    all_words = sorted(seen)
-    index = {w: i for i, w in enumerate(all_words)}
-    known = np.fromiter((model.vocab.get(w, 0) for w in all_words), np.int64, len(all_words))
     flat, first = char_buckets(all_words)
     char_sizes = np.diff(np.append(first, len(flat)))
     sizes = np.array([len(docs[i]) for i in use], np.int64)
-    ids = np.fromiter((index[w] for i in use for w in docs[i]), np.int64, int(sizes.sum()))
+    ids = np.concatenate([docs[i] for i in use]).astype(np.int64)
     pad = len(all_words)
     ids = np.append(ids, pad)
     doc, start, length = windows(sizes)
@@ -264,7 +263,7 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = 200, rate: f
         else:
             table = gate_tables(model, word_inputs(model, all_words, known))
             score = np.concatenate([forward(model, table, ids[np.where(np.arange(WINDOW) < length[p, None], at[p, None] + np.arange(WINDOW), len(ids) - 1)], length[p])
-                                    for p in np.array_split(np.arange(len(doc)), max(1, len(doc) // 2048))])
+                                    for p in np.array_split(np.arange(len(doc)), max(1, len(doc) // 512))])
             order = np.lexsort((-score, doc))
             rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
             chosen = order[rank < np.where(label[doc[order]] > 0, 1, 2)]
