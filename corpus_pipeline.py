@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademl.llm import decontaminate, minhash, packing, pii, toxicity
-from clademl.llm.common import bounded_broadcast, stored, table
+from clademl.llm.common import bounded_broadcast, small_batches, stored, table
 
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
@@ -34,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near copies the smallest ``doc_id`` stays."""
+    small_batches(spark)
     found = minhash.near_duplicates(docs)
     gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id"), "dropped")
     return docs.join(bounded_broadcast(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
@@ -47,12 +48,14 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: spans of personal data become their kind in angle brackets; every document stays."""
+    small_batches(spark)
     found = pii.personal_data(docs, keep=_others(docs), with_redacted=True)
     return _with_text(found, "redacted", docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: the documents' tokens as sequences of 2048."""
+    small_batches(spark)
     return packing.piece_digests(packing.pack(docs))
 
 
