@@ -151,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
             shard["item_ids"] = [sorted(i) for _, _, i in found]
             shard["spans"] = [_spans(t, h) if i else [] for t, (_, h, i) in zip(shard["text"], found, strict=True)]
             if with_cleaned:
-                shard["cleaned"] = [without(t, x) for t, x in zip(texts, shard["spans"], strict=True)]
+                shard["cleaned"] = pd.Series([without(t, x) for t, x in zip(texts, shard["spans"], strict=True)], dtype=object)
             return shard if "text" in keep else shard.drop(columns="text")
 
         held, size = [], 0

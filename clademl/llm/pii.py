@@ -250,7 +250,9 @@ def training_regions(docs: DataFrame, text_col: str = "text", train_docs: int =
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"region": [t[s:e] for t in b["text"] for s, e in regions(t) if e - s <= 300]})
+            found = [t[s:e] for t in b["text"] for s, e in regions(t) if e - s <= 300]
+            if found:
+                yield pd.DataFrame({"region": pd.Series(found, dtype=object)})
 
     found = (docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
              .mapInPandas(cut, "region string").distinct())
@@ -314,20 +316,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         w, features = weights.value, SpanFeatures()
         for b in batches:
             found = [find_spans(t, w, features) for t in b["text"]]
-            out = b if "text" in keep else b.drop(columns="text")
-            as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
-            out = out.assign(base=[as_rows(x) for x, _ in found], added=[as_rows(y) for _, y in found],
-                             base_joined=[_joined(x) for x, _ in found], joined=[_joined(x + y) for x, y in found])
+            out = (b if "text" in keep else b.drop(columns="text")).copy()
+            out["base_joined"] = pd.Series([_joined(x) for x, _ in found], index=b.index, dtype=object)
+            out["added_joined"] = pd.Series([_joined(y) for _, y in found], index=b.index, dtype=object)
+            out["joined"] = pd.Series([_joined(x + y) for x, y in found], index=b.index, dtype=object)
             if with_redacted:
-                out["redacted"] = [redact(t, x + y) for t, (x, y) in zip(b["text"], found, strict=True)]
+                out["redacted"] = pd.Series([redact(t, x + y) for t, (x, y) in zip(b["text"], found, strict=True)], index=b.index, dtype=object)
             yield out
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
-    span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text" or "text" in keep), T.StructField("base", span), T.StructField("added", span),
-                           T.StructField("base_joined", T.StringType()), T.StructField("joined", T.StringType()),
-                           *([T.StructField("redacted", T.StringType())] if with_redacted else [])])
-    return rows.mapInPandas(run, schema)
+    names = ["base_joined", "added_joined", "joined", *(["redacted"] if with_redacted else [])]
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text" or "text" in keep), *(T.StructField(n, T.StringType()) for n in names)])
+    return rows.mapInPandas(run, schema).withColumns({"base": _parsed("base_joined"), "added": _parsed("added_joined")}).drop("added_joined")
+
+
+def _parsed(column: str):
+    """``kind:start:end`` joined by commas as an array of structs."""
+    part = lambda s, i: F.element_at(F.split(s, ":"), i)
+    return F.transform(F.filter(F.split(column, ","), lambda s: s != ""), lambda s: F.struct(
+        part(s, 1).alias("kind"), part(s, 2).cast("long").alias("start"), part(s, 3).cast("long").alias("end")))
 
 
 def report(found: DataFrame) -> DataFrame:

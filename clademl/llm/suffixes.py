@@ -161,7 +161,8 @@ def repeated_passages(docs: DataFrame, group: int = GROUP, id_col: str = "doc_id
                     if p < len(grams):  # else the place is of another text under the same id
                         here.setdefault((int(grams[p]), i, bool(x["hot"]), *_context(h, p)), []).append(p)
                 out += [(*k, at) for k, at in here.items()]  # a text that repeats itself gives one row
-            yield pd.DataFrame(out, columns=["gram", "doc_id", "hot", "after", "before", "at"])
+            if out:
+                yield pd.DataFrame(out, columns=["gram", "doc_id", "hot", "after", "before", "at"])
 
     around = stored(rows.join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
                     .mapInPandas(contexts, "gram long, doc_id long, hot boolean, after binary, before binary, at array<int>"), "contexts")
@@ -172,7 +173,8 @@ def repeated_passages(docs: DataFrame, group: int = GROUP, id_col: str = "doc_id
             left, left_len = _matrix(g["before"])
             mask = window_masks(g["key"].to_numpy(), g["doc_id"].to_numpy(np.int64), right, right_len, left, left_len)
             hit = mask > 0
-            yield pd.DataFrame({"doc_id": g["doc_id"][hit], "at": g["at"][hit], "mask": mask[hit]})
+            if hit.any():
+                yield pd.DataFrame({"doc_id": g["doc_id"][hit], "at": g["at"][hit], "mask": mask[hit]})
 
     half, words = SPREAD // 2, SPREAD - 1  # what two windows share beyond the gram is half on one side at least
     cold = around.filter(~F.col("hot")).withColumn("key", F.col("gram")).drop("hot", "gram")
