@@ -163,7 +163,8 @@ class KernelSVM(Estimator):
         reg = 1.0 / (self.cost * max(n, 1))
 
         def svc():
-            return LinearSVC(featuresCol="__rff", labelCol=self.label, regParam=reg, maxIter=self.max_iter)
+            # the Fourier features approximate the kernel as they are: rescaling them would change it
+            return LinearSVC(featuresCol="__rff", labelCol=self.label, regParam=reg, maxIter=self.max_iter, standardization=False)
 
         oof = None
         for f in range(3):

@@ -15,6 +15,8 @@ which only affect balance, never the result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -36,7 +38,9 @@ def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFra
     ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- a runtime size check that
     costs no extra job. Otherwise it stays a shuffle join.
     """
-    return df.join(offsets, keys, "left")
+    right = offsets.select(*[F.col(c).alias(f"__o_{c}") if c in keys else F.col(c) for c in offsets.columns])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys])  # a NULL stratum is a stratum
+    return df.join(right, same, "left").drop(*[f"__o_{k}" for k in keys])
 
 
 def global_rank(df: DataFrame, key: str | Column, strata: Sequence[str] = (), tiebreak: Sequence[str] = (),

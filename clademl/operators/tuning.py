@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import IllegalArgumentException
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
@@ -70,7 +71,7 @@ def fit_resample_cells(df: DataFrame, folds: DataFrame, make_recipe: Callable[[]
         for i, cell in enumerate(grid):
             try:
                 m = make_model(cell).fit(a)
-            except Exception:  # error isolation: this cell has no predictions on this resample
+            except (IllegalArgumentException, ValueError):  # parameters the model refuses; anything else is a failed run
                 continue
             p = _prob_cols(m.transform(b), levels)
             cols = [key, label, *keep] + [c for c in p.columns if c.startswith("pred_") or c == "decision"]
