@@ -306,3 +306,12 @@ def test_running_totals_narrow_group(spark):
     rt = W.running_totals(df, "x", ["c"], groups=["g"])
     w = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     assert rt.withColumn("c2", F.coalesce(F.sum("c").over(w), F.lit(0))).filter("c_below != c2").count() == 0
+
+
+def test_null_stratum_keeps_its_rows(spark):
+    from clademl.operators.ranking import global_rank
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "id long, label string")
+    got = global_rank(df, "id", strata=["label"])
+    new = [c for c in got.columns if c not in df.columns]
+    assert got.count() == 30 and got.filter(" or ".join(f"`{c}` is null" for c in new)).count() == 0
