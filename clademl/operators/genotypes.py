@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ AUTOSOMES = (1, 22)
 ACGT = ["A", "C", "G", "T"]
 
 SAMPLE = ["fid", "iid"]
-VARIANT_BROADCAST_ROWS = 5_000_000
+VARIANT = ["chrom", "pos", "variant_id"]  # ids alone repeat ('.')
 
 
 def remove_controls(g: DataFrame, ids: Sequence[str], col: str = "iid") -> DataFrame:
@@ -47,18 +46,24 @@ def snps_only(g: DataFrame) -> DataFrame:
 def variant_stats(g: DataFrame) -> DataFrame:
     """Per variant in one aggregate: calls, missing rate, a1 frequency, MAF and genotype counts."""
     d = F.col("dosage")
-    s = g.groupBy("variant_id").agg(
+    s = g.groupBy(*VARIANT).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(d.isNull()).alias("n_missing"),
         F.avg(d.cast("double")).alias("mean_dosage"),
         F.count_if(d == 0).alias("n0"), F.count_if(d == 1).alias("n1"), F.count_if(d == 2).alias("n2"))
     p = F.col("mean_dosage") / 2
-    return s.select("variant_id", "n", "n_missing", (F.col("n_missing") / F.col("n")).alias("miss"),
+    return s.select(*VARIANT, "n", "n_missing", (F.col("n_missing") / F.col("n")).alias("miss"),
                     p.alias("p"), F.least(p, 1 - p).alias("maf"), "n0", "n1", "n2")
 
 
+def _by_variant(g: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """Join ``table`` on the variant, NULL positions being equal; ``g``'s key columns stay."""
+    t = table.withColumnsRenamed({c: f"__{c}" for c in VARIANT})
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in VARIANT]
+    return g.join(t, on, how).drop(*[f"__{c}" for c in VARIANT])
+
+
 def _keep(g: DataFrame, keep: DataFrame) -> DataFrame:
-    k = keep.select("variant_id")
-    return g.join(F.broadcast(k) if k.count() <= VARIANT_BROADCAST_ROWS else k, "variant_id", "left_semi")
+    return _by_variant(g, keep.select(*VARIANT), "left_semi")
 
 
 def geno_filter(g: DataFrame, max_missing: float = GENO_MAX) -> DataFrame:
@@ -72,36 +77,23 @@ def maf_filter(g: DataFrame, min_maf: float = MAF_MIN) -> DataFrame:
 
 
 def hwe_exact(n_het: int, n_hom1: int, n_hom2: int) -> float:
-    """Exact Hardy-Weinberg test p-value (Wigginton, Cutler & Abecasis 2005)."""
+    """Exact Hardy-Weinberg test p-value (Wigginton, Cutler & Abecasis 2005).
+
+    Share of the heterozygote counts at most as likely as the one seen, given the allele
+    counts; log ratios of neighbouring counts are added up in one numpy pass.
+    """
     n_het, n_hom1, n_hom2 = int(n_het), int(n_hom1), int(n_hom2)
-    if n_het + n_hom1 + n_hom2 == 0:
+    n = n_het + n_hom1 + n_hom2
+    if n == 0:
         return 1.0
-    rare_hom, common_hom = min(n_hom1, n_hom2), max(n_hom1, n_hom2)
-    n = n_het + rare_hom + common_hom
-    rare = 2 * rare_hom + n_het
-    probs = [0.0] * (rare + 1)
-    mid = rare * (2 * n - rare) // (2 * n)
-    if (rare - mid) % 2:
-        mid += 1
-    probs[mid] = 1.0
-    total = 1.0
-    het, hr, hc = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while het >= 2:
-        probs[het - 2] = probs[het] * het * (het - 1) / (4.0 * (hr + 1) * (hc + 1))
-        total += probs[het - 2]
-        het -= 2
-        hr += 1
-        hc += 1
-    het, hr, hc = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while het <= rare - 2:
-        probs[het + 2] = probs[het] * 4.0 * hr * hc / ((het + 2.0) * (het + 1.0))
-        total += probs[het + 2]
-        het += 2
-        hr -= 1
-        hc -= 1
-    obs = probs[n_het]
-    p = sum(x for x in probs if x <= obs * (1 + 1e-12)) / total
-    return min(1.0, p)
+    rare = 2 * min(n_hom1, n_hom2) + n_het
+    het = np.arange(rare % 2, rare + 1, 2, dtype=np.float64)
+    hom_r, hom_c = (rare - het) / 2, n - het - (rare - het) / 2
+    step = np.log(4.0 * hom_r[:-1] * hom_c[:-1]) - np.log((het[:-1] + 1) * (het[:-1] + 2))
+    logp = np.concatenate(([0.0], np.cumsum(step)))
+    p = np.exp(logp - logp.max())
+    seen = logp[n_het // 2]
+    return float(min(1.0, p[logp <= seen + 1e-9].sum() / p.sum()))
 
 
 def _hwe_batch(it):
@@ -140,7 +132,7 @@ def bp_space(g: DataFrame, d: int = 1) -> DataFrame:
     chromosome in ``applyInPandas`` over the distinct *sites* (not the calls); the
     kept variants then filter the calls with a semi join.
     """
-    first = g.groupBy("chrom", "pos").agg(F.min("variant_id").alias("variant_id"))
+    first = g.groupBy("chrom", "pos").agg(F.min("variant_id").alias("variant_id")).select(*VARIANT)
     if d <= 1:
         return _keep(g, first)
 
@@ -152,22 +144,22 @@ def bp_space(g: DataFrame, d: int = 1) -> DataFrame:
             keep.append(ok)
             if ok:
                 last = pos
-        return pdf.loc[keep, ["variant_id"]]
+        return pdf.loc[keep, VARIANT]
 
-    kept = first.groupBy("chrom").applyInPandas(greedy, "variant_id string")
+    kept = first.groupBy("chrom").applyInPandas(greedy, first.schema)
     return _keep(g, kept)
 
 
 def impute_dosage(g: DataFrame, how: str = "mean") -> DataFrame:
     """Fill failed calls with the variant's rounded mean dosage (``mean``) or its mode (``mode``)."""
     if how == "mean":
-        st = g.groupBy("variant_id").agg(F.round(F.avg("dosage")).cast("int").alias("__fill"))
+        st = g.groupBy(*VARIANT).agg(F.round(F.avg("dosage")).cast("int").alias("__fill"))
     elif how == "mode":
-        c = g.filter(F.col("dosage").isNotNull()).groupBy("variant_id", "dosage").agg(F.count(F.lit(1)).alias("__c"))
-        st = c.groupBy("variant_id").agg(F.max_by("dosage", F.struct("__c", -F.col("dosage"))).alias("__fill"))
+        c = g.filter(F.col("dosage").isNotNull()).groupBy(*VARIANT, "dosage").agg(F.count(F.lit(1)).alias("__c"))
+        st = c.groupBy(*VARIANT).agg(F.max_by("dosage", F.struct("__c", -F.col("dosage"))).alias("__fill"))
     else:
         raise ValueError(how)
-    return g.join(st, "variant_id", "left").withColumn("dosage", F.coalesce("dosage", "__fill")).drop("__fill")
+    return _by_variant(g, st, "left").withColumn("dosage", F.coalesce("dosage", "__fill")).drop("__fill")
 
 
 def index_keys(df: DataFrame, keys: Sequence[str], out: str, seed: int = 0) -> DataFrame:
@@ -184,28 +176,30 @@ def index_keys(df: DataFrame, keys: Sequence[str], out: str, seed: int = 0) -> D
     return cut_lineage(with_file_order(k, out))
 
 
-def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 4096, sample_block: int = 1024) -> DataFrame:
+def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 1024, sample_block: int = 1024) -> DataFrame:
     """Genomic relationship matrix ``(fid_i, iid_i, fid_j, iid_j, g, m)``.
 
     ``z = (x - 2p) / sqrt(2p(1-p))`` per call (variants with MAF >= min_maf),
     ``g_ij = sum_k z_ik z_jk / m_ij`` with ``m_ij`` the variants observed in both.
 
     A blocked Gram product ``Z^T Z`` / ``O^T O`` in DataFrame operators: calls become
-    dense (variant block x sample block) matrices (``applyInPandas`` per block), block
-    pairs meet on their variant block (a join of blocks, not of rows), each task sums
-    its block products map-side (``mapInPandas``) and ``Summarizer.sum`` adds the
-    partial sums across variant blocks in the JVM. Rows never pair with rows.
+    dense (variant block x sample block) matrices (``applyInPandas`` per block), and each
+    block goes to the block pairs it takes part in, so a variant block's pairs spread over
+    tasks. A task reads its pairs in order and keeps the sum of one pair at a time;
+    ``Summarizer.sum`` adds the partial sums of a pair. Rows never pair with rows.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    BV, BS = int(variant_block), int(sample_block)
-    st = variant_stats(g).filter(F.col("maf") >= min_maf).select("variant_id", "p")
-    obs = g.filter(F.col("dosage").isNotNull()).join(st, "variant_id").persist(StorageLevel.MEMORY_AND_DISK)
-    vi = index_keys(obs, ["variant_id"], "vi")
+    st = variant_stats(g).filter(F.col("maf") >= min_maf).select(*VARIANT, "p")
+    obs = _by_variant(g.filter(F.col("dosage").isNotNull()), st, "inner")
+    vi = index_keys(st, VARIANT, "vi")
     si = index_keys(obs, SAMPLE, "si")
+    n_samples = si.count()  # both are stored index tables
+    BV, BS = max(1, min(int(variant_block), vi.count())), max(1, min(int(sample_block), n_samples))
+    n_blocks = -(-n_samples // BS)
     zexpr = (F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))
-    z = obs.join(vi, "variant_id").join(si, SAMPLE).select(
+    z = _by_variant(obs, vi, "inner").join(si, SAMPLE).select(
         F.floor(F.col("vi") / BV).alias("vb"), F.floor(F.col("si") / BS).alias("sb"),
         (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), zexpr.alias("z"))
 
@@ -217,26 +211,25 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 4096, s
         return pd.DataFrame({"vb": [key[0]], "sb": [key[1]], "zm": [zm.tobytes()], "om": [om.tobytes()]})
 
     blocks = z.groupBy("vb", "sb").applyInPandas(build, "vb long, sb long, zm binary, om binary")
-    a = blocks.select("vb", F.col("sb").alias("bi"), F.col("zm").alias("za"), F.col("om").alias("oa"))
-    b = blocks.select("vb", F.col("sb").alias("bj"), F.col("zm").alias("zb"), F.col("om").alias("ob"))
-    pairs = a.join(b, "vb").filter(F.col("bi") <= F.col("bj")).drop("vb")
+    a = blocks.select("vb", F.col("sb").alias("bi"), F.explode(F.sequence("sb", F.lit(n_blocks - 1).cast("long"))).alias("bj"),
+                      F.col("zm").alias("za"), F.col("om").alias("oa"))
+    b = blocks.select("vb", F.explode(F.sequence(F.lit(0).cast("long"), "sb")).alias("bi"), F.col("sb").alias("bj"),
+                      F.col("zm").alias("zb"), F.col("om").alias("ob"))
+    pairs = a.join(b, ["vb", "bi", "bj"]).sortWithinPartitions("bi", "bj")
 
     def multiply(it):
-        acc = {}
+        at, gm, mm = None, None, None
         for pdf in it:
             for bi, bj, za, zb, oa, ob in zip(pdf["bi"], pdf["bj"], pdf["za"], pdf["zb"], pdf["oa"], pdf["ob"]):
-                za_ = np.frombuffer(za).reshape(BV, BS)
-                zb_ = np.frombuffer(zb).reshape(BV, BS)
-                oa_ = np.frombuffer(oa, dtype=np.uint8).reshape(BV, BS).astype(np.float64)
-                ob_ = np.frombuffer(ob, dtype=np.uint8).reshape(BV, BS).astype(np.float64)
-                gm, mm = za_.T @ zb_, oa_.T @ ob_
-                if (bi, bj) in acc:
-                    acc[(bi, bj)][0] += gm
-                    acc[(bi, bj)][1] += mm
-                else:
-                    acc[(bi, bj)] = [gm, mm]
-        for (bi, bj), (gm, mm) in acc.items():  # one partial sum per block pair per task
-            yield pd.DataFrame({"bi": [bi], "bj": [bj], "g": [gm.ravel()], "m": [mm.ravel()]})
+                if at != (bi, bj):
+                    if at is not None:
+                        yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
+                    at, gm, mm = (bi, bj), np.zeros((BS, BS)), np.zeros((BS, BS))
+                gm += np.frombuffer(za).reshape(BV, BS).T @ np.frombuffer(zb).reshape(BV, BS)
+                here = [np.frombuffer(o, dtype=np.uint8).reshape(BV, BS).astype(np.float32) for o in (oa, ob)]
+                mm += here[0].T @ here[1]  # counts up to BV are exact in single precision
+        if at is not None:
+            yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
 
     prods = pairs.mapInPandas(multiply, "bi long, bj long, g array<double>, m array<double>")
     summed = prods.groupBy("bi", "bj").agg(Summarizer.sum(array_to_vector("g")).alias("g"),
@@ -263,9 +256,9 @@ def dosage_vectors(g: DataFrame, variants: DataFrame | None = None) -> DataFrame
     """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    vi = variants if variants is not None else index_keys(g, ["variant_id"], "vi")
+    vi = variants if variants is not None else index_keys(g, VARIANT, "vi")
     nv = vi.count()
-    calls = g.filter(F.col("dosage").isNotNull()).join(vi, "variant_id")
+    calls = _by_variant(g.filter(F.col("dosage").isNotNull()), vi, "inner")
     per = calls.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(F.struct("vi", F.col("dosage").cast("double")))).alias("e"))
 
     @F.udf(VectorUDT())

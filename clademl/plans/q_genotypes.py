@@ -48,12 +48,31 @@ def n5(spark, sf):
     return r6(st.filter(F.col("maf") >= N.MAF_MIN).select("variant_id", "maf"))
 
 
-@query("n6_hwe_pvalues")
+def _hwe_sql(stats: str) -> list[str]:
+    """Exact test per genotype-count triple of ``stats``: every heterozygote count with its log probability."""
+    return [
+        f"tr AS (SELECT DISTINCT n0, n1, n2, n0 + n1 + n2 AS n, 2 * least(n0, n2) + n1 AS rare FROM {stats})",
+        "hets AS (SELECT n0, n1, n2, n, rare, unnest(range(rare % 2, rare + 1, 2)) AS h FROM tr)",
+        "lp AS (SELECT n0, n1, n2, h, h * ln(2.0) - lgamma(h + 1) - lgamma((rare - h) / 2 + 1) - lgamma(n - h - (rare - h) / 2 + 1) AS l FROM hets)",
+        "sn AS (SELECT *, max(CASE WHEN h = n1 THEN l END) OVER (PARTITION BY n0, n1, n2) AS seen, max(l) OVER (PARTITION BY n0, n1, n2) AS top FROM lp)",
+        "hw AS (SELECT n0, n1, n2, least(1.0, sum(CASE WHEN l <= seen + 1e-9 THEN exp(l - top) ELSE 0 END) / sum(exp(l - top))) AS p_hwe FROM sn GROUP BY n0, n1, n2)",
+    ]
+
+
+_COUNTS = "count(CASE WHEN dosage = 0 THEN 1 END) AS n0, count(CASE WHEN dosage = 1 THEN 1 END) AS n1, count(CASE WHEN dosage = 2 THEN 1 END) AS n2"
+
+
+@query("n6_hwe_pvalues", with_ctes(FX5_SQL, f"cs AS (SELECT variant_id, {_COUNTS} FROM fx5 GROUP BY variant_id)", *_hwe_sql("cs"))
+       + "SELECT variant_id, n0, n1, n2, round(p_hwe, 6) AS p_hwe FROM cs JOIN hw USING (n0, n1, n2)")
 def n6(spark, sf):
-    return N.hwe_pvalues(N.variant_stats(fx.fx5(spark, sf))).select("variant_id", "n0", "n1", "n2", "p_hwe")
+    return r6(N.hwe_pvalues(N.variant_stats(fx.fx5(spark, sf))).select("variant_id", "n0", "n1", "n2", "p_hwe"))
 
 
-@query("n4_n6_qc_filter")
+@query("n4_n6_qc_filter", with_ctes(
+    FX5_SQL, "q AS (SELECT * FROM fx5 WHERE NOT regexp_matches(iid, '^(" + "|".join(fx.CONTROL_SAMPLES) + ")(_[0-9]+)?$') AND chrom BETWEEN 1 AND 22 "
+    "AND a1 IN ('A', 'C', 'G', 'T') AND a2 IN ('A', 'C', 'G', 'T'))",
+    f"cs AS (SELECT variant_id, {_COUNTS}, avg(CASE WHEN dosage IS NULL THEN 1.0 ELSE 0.0 END) AS miss, avg(dosage) / 2 AS p FROM q GROUP BY variant_id)",
+    *_hwe_sql("cs")) + "SELECT variant_id FROM cs JOIN hw USING (n0, n1, n2) WHERE miss <= 0.01 AND least(p, 1 - p) >= 0.01 AND p_hwe >= 1e-6")
 def n46(spark, sf):
     g = N.remove_controls(fx.fx5(spark, sf), fx.CONTROL_SAMPLES)
     g = N.snps_only(N.autosomes(g))
