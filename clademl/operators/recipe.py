@@ -8,14 +8,18 @@ persists with ``save``/``load`` (all state lives in Params).
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +82,9 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
     ``freq_ratio`` = most / second most frequent value count, ``unique_pct`` =
     100 * distinct non-NULL values / rows. A HyperLogLog pass first rules out
     clearly high-cardinality columns (estimate above twice the cut, far beyond the
-    5 % estimator error); the exact counts run only on the remaining columns.
+    5 % estimator error); the exact counts run only on the remaining columns, among
+    them every column with a handful of values. A column without any value has
+    ``n_distinct`` 0 and no ratio; -0.0 and 0.0 are one value.
     """
 
     freqCut = Param(Params._dummy(), "freqCut", "frequency ratio cut", TypeConverters.toFloat)
@@ -98,11 +104,16 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
         if not cols:
             return empty
         # long form: one small HLL buffer per column group, partial aggregation map-side
-        long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+        kinds = dict(df.dtypes)
+        plain = {c: F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c) for c in cols}  # -0.0 + 0.0 = 0.0
+        long = df.select(*[e.cast("string").alias(c) for c, e in plain.items()]).unpivot([], cols, "variable", "value")
         est = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"),
                                            F.approx_count_distinct("value", 0.05).alias("nd")).collect()
         n = max((r["n"] for r in est), default=0)
-        cand = [r["variable"] for r in est if n and 100.0 * r["nd"] / n <= 2 * cut]
+        bare = [r["variable"] for r in est if r["nd"] == 0]
+        cand = [r["variable"] for r in est if r["nd"] and (r["nd"] <= 8 or 100.0 * r["nd"] / n <= 2 * cut)]
+        if bare:
+            empty = spark.createDataFrame([(c, None, 0.0, 0) for c in bare], empty.schema)
         if not cand:
             return empty
         vc = (long.filter(F.col("variable").isin(cand) & F.col("value").isNotNull())
@@ -113,8 +124,9 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
         second = vc.join(F.broadcast(top.select("variable", "top_value")), "variable") \
             .filter(F.col("value") != F.col("top_value")).groupBy("variable").agg(F.max("cnt").alias("c2"))
         s = top.join(second, "variable", "left")
-        return s.select("variable", (F.col("c1") / F.col("c2")).alias("freq_ratio"),
-                        (100.0 * F.col("n_distinct") / F.lit(n)).alias("unique_pct"), "n_distinct")
+        found = s.select("variable", (F.col("c1") / F.col("c2")).alias("freq_ratio"),
+                         (100.0 * F.col("n_distinct") / F.lit(n)).alias("unique_pct"), "n_distinct")
+        return found.unionByName(empty) if bare else found
 
     def _fit(self, df: DataFrame) -> DropColumnsModel:
         cols = _present(df, self.getInputCols())
@@ -130,9 +142,10 @@ class NearZeroVar(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
 
 # ---------------------------------------------------------------- E3
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A5: Pearson correlation of complete rows -> pair table ``(i, j, r)``; undefined -> NULL.
+    """A5: Pearson correlation of each pair over the rows where both are present -> pair table
+    ``(i, j, r)``; undefined -> NULL.
 
-    One distributed pass (``ml.stat.Correlation``); only the p x p result reaches the driver.
+    One distributed pass of pair sums; only the p x p result reaches the driver.
     """
     cols = list(cols)
     m = _corr_array(df, cols)
@@ -142,13 +155,39 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _corr_array(df: DataFrame, cols: list[str]):
-    va = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip")
-    v = va.transform(df.select(*[F.col(c).cast("double") for c in cols])).select("__v")
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # Correlation makes several passes
-    try:
-        return Correlation.corr(v, "__v", "pearson").first()[0].toArray().tolist()
-    finally:
-        v.unpersist()
+    """Pairwise-complete correlations from sums over the rows where both columns are present.
+
+    Each task adds up four p x p matrices (counts, sums, squares, products) of values centred
+    on the column means; ``Summarizer`` adds the tasks' rows, one row per column.
+    """
+    p = len(cols)
+    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    num = num.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in num.columns])
+    num = num.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: means, then sums
+    row = num.agg(*[F.avg(c).alias(c) for c in num.columns]).first()
+    mu = np.array([0.0 if v is None else float(v) for v in row])
+
+    def sums(batches):
+        acc = np.zeros((4, p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            there = ~np.isnan(x)
+            m, x = there.astype(float), np.where(there, x - mu, 0.0)
+            acc += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"i": range(p), "v": list(acc.transpose(1, 0, 2).reshape(p, 4 * p))})
+
+    part = num.mapInPandas(sums, "i int, v array<double>")
+    total = part.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
+    num.unpersist()
+    n, s, q, xy = np.zeros((4, p, p))
+    for r in total:
+        n[r["i"]], s[r["i"]], q[r["i"]], xy[r["i"]] = np.array(r["v"]).reshape(4, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = q - s * s / n
+        flat = ~(var > 1e-12 * q) | ~(var > 1e-24 * n * (mu * mu)[:, None])  # constant on the pair's rows
+        r = (xy - s * s.T / n) / np.sqrt(var * var.T)
+    r[flat | flat.T | (n < 2)] = math.nan
+    return np.clip(r, -1.0, 1.0).tolist()
 
 
 def corr_drop(cols: Sequence[str], m, threshold: float) -> list[str]:
@@ -223,7 +262,7 @@ class Normalize(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
 
 # ---------------------------------------------------------------- E5
 class NominalLevelsModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
-    levels = Param(Params._dummy(), "levels", "per column '\\x1f'-joined training levels", TypeConverters.toListString)
+    levels = Param(Params._dummy(), "levels", "per column the training levels as a JSON list", TypeConverters.toListString)
 
     @keyword_only
     def __init__(self, inputCols=None, levels=None):
@@ -234,7 +273,7 @@ class NominalLevelsModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWrita
     def _transform(self, df: DataFrame) -> DataFrame:
         out = {}
         for c, lv in zip(self.getInputCols(), self.getOrDefault(self.levels)):
-            known = [x for x in lv.split("\x1f") if x]
+            known = json.loads(lv)
             out[c] = (F.when(F.col(c).isNull(), F.lit("unknown"))
                       .when(F.col(c).isin(known), F.col(c)).otherwise(F.lit("new")))
         return df.withColumns(out)
@@ -260,7 +299,7 @@ class NominalLevels(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritab
         if too_many:
             raise ValueError(f"not nominal (more than {cap} levels): {too_many}")
         got = {r["column"]: r["lv"] for r in long.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("lv")).collect()}
-        return NominalLevelsModel(inputCols=cols, levels=["\x1f".join(got.get(c, [])) for c in cols])
+        return NominalLevelsModel(inputCols=cols, levels=[json.dumps(got.get(c, [])) for c in cols])
 
 
 # ---------------------------------------------------------------- assembly
@@ -333,8 +372,8 @@ def fold_stats(df: DataFrame, folds: DataFrame, cols: Sequence[str], key: str =
         n = F.lit(tot[f"n_{c}"]) - F.col(f"n_{c}")
         s = F.lit(tot[f"s_{c}"] or 0.0) - F.coalesce(F.col(f"s_{c}"), F.lit(0.0))
         q = F.lit(tot[f"q_{c}"] or 0.0) - F.coalesce(F.col(f"q_{c}"), F.lit(0.0))
-        mean = F.lit(centre[c]) + s / n
-        var = F.try_divide(q - s * s / n, n - 1)
+        mean = F.lit(centre[c]) + F.try_divide(s, n)  # NULL where the fold holds every row
+        var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
         rows.append(F.struct(F.lit(c).alias("variable"), n.alias("n"), mean.alias("mean"),
                              F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd")))
     return part.select("repeat", "fold", F.explode(F.array(*rows)).alias("s")).select("repeat", "fold", "s.*")
