@@ -73,7 +73,7 @@ def m8(spark, sf):
     """Trained on the positive class only; every test row gets a decision value and a label."""
     tr, te, p = _prepared(spark, sf)
     normal = Q.keep_class(tr, "label", POS)
-    model = M.OneClassSVM(nu=0.1, sigma=0.01, n_components=128, max_iter=20, n_input=p).fit(normal)
+    model = M.OneClassSVM(nu=0.1, sigma=0.01, n_components=128, n_input=p).fit(normal)
     out = model.transform(te).select("row_id", "label", "decision")
     return Q.decision_label(out, inlier=POS, outlier=NEG)
 
@@ -125,7 +125,7 @@ def t6(spark, sf):
     grid = [{"nu": 0.05, "sigma": 0.01}, {"nu": 0.2, "sigma": 0.01}]
     preds = T.fit_resample_cells(
         normal, folds, lambda: E.recipe(fx.FEATURES), lambda c: M.OneClassSVM(nu=c["nu"], sigma=c["sigma"],
-                                                                                n_components=64, max_iter=10),
+                                                                                n_components=64),
         grid, LEVELS)
     per = preds.groupBy("cell_id", "repeat", "fold").agg(F.avg((F.col("decision") >= 0).cast("double")).alias("score"))
     return T.with_grid(per.groupBy("cell_id").agg(F.avg("score").alias("score")), grid)
@@ -154,7 +154,7 @@ def t13(spark, sf):
 def _dosage_data(spark, sf):
     g = N.remove_controls(fx.fx5(spark, sf), fx.CONTROL_SAMPLES)
     g = N.impute_dosage(N.maf_filter(g))
-    vi = N.index_keys(g, ["variant_id"], "vi")
+    vi = N.index_keys(g, N.VARIANT, "vi")
     vec = N.dosage_vectors(g, vi)
     sup = fx.table(spark, sf, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("iid"), F.col("s_acctbal").alias("y"))

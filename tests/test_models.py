@@ -63,7 +63,7 @@ def test_oneclass_outlier_share(spark):
     x = rng.normal(size=(400, 3))
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
-    m = M.OneClassSVM(nu=0.1, sigma=0.2, n_components=64, max_iter=15, n_input=3).fit(df)
+    m = M.OneClassSVM(nu=0.1, sigma=0.2, n_components=64, n_input=3).fit(df)
     share = m.transform(df).agg(F.avg((F.col("decision") < 0).cast("double"))).first()[0]
     assert share == pytest.approx(0.1, abs=0.04)
     assert m.history[-1] <= m.history[0]
