@@ -206,20 +206,33 @@ def confusion_rates(c: DataFrame, by=()) -> DataFrame:
         ((sens + spec) / 2).alias("balanced_accuracy"))
 
 
-def _binom_cdf(k: int, n: int, p: float) -> float:
-    if k < 0:
-        return 0.0
-    if k >= n:
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz steps)."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - _beta_share(b, a, 1.0 - x)
+    tiny = 1e-300
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    d = 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
+    c, h, k = 1.0, d, 0
+    while True:  # about sqrt(max(a, b)) turns
+        k += 1
+        before = h
+        for num in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)),
+                    -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
+            d = 1.0 / ((1.0 + num * d) or tiny)
+            c = (1.0 + num / c) or tiny
+            h *= d * c
+        if abs(h - before) <= 1e-15 * abs(h):
+            return front * h
+
+
+def _binom_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of a binomial, exact also where it is tiny."""
+    if k <= 0:
         return 1.0
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 0.0
-    lp, lq = math.log(p), math.log1p(-p)
-    total = 0.0
-    for i in range(0, k + 1):
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq)
-    return min(1.0, total)
+    return 0.0 if k > n else _beta_share(k, n - k + 1, p)
 
 
 def _bisect(f, lo=0.0, hi=1.0, it=100):
@@ -236,8 +249,8 @@ def clopper_pearson(x: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
     """Exact binomial interval by bisection on the tails."""
     if n == 0:
         return (float("nan"), float("nan"))
-    lower = 0.0 if x == 0 else _bisect(lambda p: 1 - _binom_cdf(x - 1, n, p) >= alpha / 2)
-    upper = 1.0 if x == n else _bisect(lambda p: _binom_cdf(x, n, p) <= alpha / 2)
+    lower = 0.0 if x == 0 else _bisect(lambda p: _binom_tail(x, n, p) >= alpha / 2)
+    upper = 1.0 if x == n else _bisect(lambda p: _beta_share(n - x, x + 1, 1 - p) <= alpha / 2)
     return lower, upper
 
 
@@ -249,7 +262,7 @@ def _tests(pdf: pd.DataFrame) -> pd.DataFrame:
         hits = tp + tn
         lo, hi = clopper_pearson(hits, n)
         nir = max(tp + fn, tn + fp) / n if n else float("nan")
-        p_nir = 1 - _binom_cdf(hits - 1, n, nir) if n else float("nan")
+        p_nir = _binom_tail(hits, n, nir) if n else float("nan")
         b, c = fp, fn
         mcn = ((abs(b - c) - 1) ** 2 / (b + c)) if (b + c) > 0 else float("nan")
         p_mcn = math.erfc(math.sqrt(mcn / 2)) if mcn == mcn else float("nan")

@@ -20,14 +20,10 @@ from .ranking import global_rank
 DRAW_BROADCAST_ROWS = 5_000_000
 
 
-def _round_half_even(x: float) -> int:
-    return int(round(x))
-
-
 def thin(df: DataFrame, frac: float, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Exactly ``round(n * frac)`` rows, without replacement."""
+    """Exactly ``round(n * frac)`` rows (half to even), without replacement."""
     r = global_rank(df, order_key(seed, key), rank_col="__rank", size_col="__n")
-    size = F.round(F.col("__n") * F.lit(float(frac)))  # n * frac never ties at .5 for the fractions used
+    size = F.bround(F.col("__n") * F.lit(float(frac)))
     return r.filter(F.col("__rank") <= size).drop("__rank", "__n")
 
 
@@ -60,9 +56,9 @@ def split_fixed(df: DataFrame, label: str, sizes: Mapping[str, int], seed: int =
 
 
 def split_random(df: DataFrame, p: float, seed: int = 42, key: str = "row_id", out: str = "set") -> DataFrame:
-    """Unstratified, ``round(p * n)`` rows to train."""
+    """Unstratified, ``round(p * n)`` rows (half to even) to train."""
     r = global_rank(df, order_key(seed, key), rank_col="__rank", size_col="__n")
-    return r.withColumn(out, F.when(F.col("__rank") <= F.round(F.col("__n") * F.lit(float(p))), "train")
+    return r.withColumn(out, F.when(F.col("__rank") <= F.bround(F.col("__n") * F.lit(float(p))), "train")
                         .otherwise("test")).drop("__rank", "__n")
 
 

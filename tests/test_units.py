@@ -14,6 +14,7 @@ from clademl.operators import genotypes as N
 from clademl.operators import grids as G
 from clademl.operators import metrics as V
 from clademl.operators import ranking as W
+from clademl.operators import recipe as E
 from clademl.operators import resample as R
 from clademl.operators import shape as P
 from clademl.functions.exprs import order_key
@@ -168,6 +169,9 @@ def test_grids():
     assert len(lhs) == 25
     for name, (lo, hi, base) in G.BOOST_RANGES.items():
         vals = [math.log10(p[name]) if base else p[name] for p in lhs]
+        if isinstance(lo, int):  # whole numbers, both ends reachable
+            assert all(isinstance(v, int) for v in vals) and (hi - lo >= 25 * 2 or (min(vals), max(vals)) == (lo, hi))
+            continue
         strata = sorted(int((v - lo) / (hi - lo) * 25) for v in vals)
         assert strata == list(range(25))  # each stratum exactly once
     assert len(G.grid_cross({"nu": G.ONECLASS_NU, "sigma": G.ONECLASS_SIGMA})) == 100
@@ -184,6 +188,56 @@ def test_hwe_exact_known():
     assert 0 < p <= 1
 
 
+def test_hwe_exact_against_sum():
+    def exact(het, a, b):
+        n, rare = het + a + b, 2 * min(a, b) + het
+        ways = {h: 2**h * math.factorial(n) // (math.factorial(h) * math.factorial((rare - h) // 2) * math.factorial(n - h - (rare - h) // 2))
+                for h in range(rare % 2, rare + 1, 2)}
+        return sum(w for w in ways.values() if w <= ways[het]) / sum(ways.values())
+
+    for t in [(0, 0, 0), (1, 0, 0), (3, 0, 5), (57, 14, 29), (10, 40, 2), (0, 7, 7), (21, 30, 6)]:
+        assert N.hwe_exact(*t) == pytest.approx(exact(*t) if sum(t) else 1.0, rel=1e-9)
+
+
+def test_same_id_at_two_sites(spark):
+    rows = [("F", f"S{i}", 1, p, ".", "A", "C", d) for p, d in ((1, 0), (2, 2)) for i in range(4)]
+    g = spark.createDataFrame(rows, "fid string, iid string, chrom int, pos long, variant_id string, a1 string, a2 string, dosage int")
+    assert sorted((r["pos"], r["p"]) for r in N.variant_stats(g).collect()) == [(1, 0.0), (2, 1.0)]
+
+
+def test_exact_interval():
+    lo, hi = V.clopper_pearson(7, 20)
+    assert (lo, hi) == pytest.approx((0.15390920, 0.59218880), abs=1e-6)
+    assert V.clopper_pearson(0, 10)[0] == 0.0 and V.clopper_pearson(10, 10)[1] == 1.0
+    tail = sum(math.comb(50, k) * 0.3**k * 0.7 ** (50 - k) for k in range(45, 51))
+    assert V._binom_tail(45, 50, 0.3) == pytest.approx(tail, rel=1e-9)
+
+
+def test_read_ped_alleles(spark, tmpdir_path):
+    mp, one, three = (os.path.join(tmpdir_path, x) for x in ("m.map", "one.ped", "three.ped"))
+    for path, text in ((mp, "1 rs1 0 100\n"), (one, "F1 S1 0 0 1 -9 A A\nF1 S2 0 0 2 -9 A A\n"),
+                       (three, "F1 S1 0 0 1 -9 A C\nF1 S2 0 0 2 -9 G A\n")):
+        with open(path, "w") as f:
+            f.write(text)
+    assert [(r["a1"], r["a2"], r["dosage"]) for r in S.read_ped(spark, one, mp).collect()] == [(None, "A", 0)] * 2
+    with pytest.raises(Exception, match="more than two alleles"):
+        S.read_ped(spark, three, mp).collect()
+
+
+def test_filters_with_missing_values(spark):
+    rows = [(float(i), 2.0 * i if i % 3 else None, None, 1.0, 0.0 if i % 2 else -0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, bare double, same double, zero double")
+    m = {(r["i"], r["j"]): r["r"] for r in E.corr_matrix(df, df.columns).collect()}
+    assert m[("a", "b")] == pytest.approx(1.0) and m[("a", "bare")] is None and m[("a", "same")] is None
+    sparse = spark.createDataFrame([(float(i), float(i * i % 7), 1.5 * i if i < 2 else None) for i in range(50)], "a double, b double, c double")
+    full = {(r["i"], r["j"]): r["r"] for r in E.corr_matrix(sparse, ["a", "b", "c"]).collect()}
+    assert full[("a", "b")] == pytest.approx(sparse.stat.corr("a", "b"))
+    assert E.NearZeroVar(inputCols=df.columns).fit(df.limit(4)).getDropCols() == ["bare", "same", "zero"]
+    lv = spark.createDataFrame([("",), ("x",), (None,)], "k string")
+    fit = E.NominalLevels(inputCols=["k"]).fit(lv)
+    assert [r["k"] for r in fit.transform(spark.createDataFrame([("",), ("y",), (None,)], "k string")).collect()] == ["", "new", "unknown"]
+
+
 def test_read_ped(spark, tmpdir_path):
     ped = os.path.join(tmpdir_path, "x.ped")
     mp = os.path.join(tmpdir_path, "x.map")
