@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from clademl.llm.common import bounded_broadcast, components, stored
 
 WORDS = 5
-#: 12 chunks of 5 symbols of 16 bits. By the pigeonhole principle a pair that differs in at most
-#: 2 * 12 - 1 = 23 of the 60 symbols has a chunk with at most one error. At a similarity of 0.85 a
-#: symbol differs with probability 0.15, and more than 23 of 60 do so in about 1 of 10^6 pairs.
-CHUNKS, WIDTH = 12, 5
+#: 21 chunks of 5 symbols of 16 bits. By the pigeonhole principle a pair that differs in at most
+#: 2 * 21 - 1 = 41 of the 105 symbols has a chunk with at most one error. At a similarity of 0.80 a
+#: symbol differs with probability 0.20, and more than 41 of 105 do so in 2.1 of 10^6 pairs (at 0.85
+#: in 5 of 10^10).
+CHUNKS, WIDTH = 21, 5
 SYMBOLS = CHUNKS * WIDTH
 MOST_ERRORS = 2 * CHUNKS - 1
 
@@ -203,13 +204,13 @@ def _confirm(docs: DataFrame, members: DataFrame, percent: int, id_col: str, tex
     return dealt.mapInPandas(links, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block_docs: int = 512, block_bytes: int = 24 * 1024 * 1024,
+def near_duplicates(docs: DataFrame, percent: int = 80, block_docs: int = 512, block_bytes: int = 24 * 1024 * 1024,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: documents linked when ``100 * intersection >=
     percent * union`` of their sets of 5-word shingles, and the smallest ``doc_id`` reachable.
 
-    Signatures are 60 symbols of 16 bits. Each is split into 12 chunks, and each chunk gives a key for
-    every symbol left out, so all pairs within 23 differing symbols share a key. Equal sets collapse
+    Signatures are 105 symbols of 16 bits. Each is split into 21 chunks, and each chunk gives a key for
+    every symbol left out, so all pairs within 41 differing symbols share a key. Equal sets collapse
     into classes first. Classes that share keys form loose groups (through star links, not pairs); a
     group larger than a block is dealt out as pairs of blocks of at most ``block_docs`` classes or
     ``block_bytes`` of sets on average, and each task confirms on full sets every pair within the

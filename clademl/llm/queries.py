@@ -50,7 +50,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_near_duplicates", minhash.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 @_query("op7_lm_scores")

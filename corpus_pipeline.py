@@ -33,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies the smallest ``doc_id`` stays."""
+    """Operator 6: of each group of near copies (similarity of 0.80 or more) the smallest ``doc_id`` stays."""
     small_batches(spark)
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=80)
     gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id"), "dropped")
     return docs.join(bounded_broadcast(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
 
