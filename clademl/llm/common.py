@@ -46,6 +46,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_clash(keep: tuple[str, ...], *own: str) -> None:
+    """Raise if a column to keep has the name of one that the operator adds (Spark ignores the case)."""
+    clash = sorted({c.lower() for c in keep} & set(own))
+    if clash:
+        raise ValueError(f"columns to keep have the names of the operator's own: {clash}")
+
+
 def fits(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clademl.llm.common import refuse_clash
 from clademl.llm.fm_index import FMIndex
 
 #: Bytes of a word, after A-Z became a-z: digits, letters and every byte of a non-ASCII character.
@@ -127,6 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     null id or without words take no part; items with equal ids are one item. An empty table on
     either side gives no row, or no hit.
     """
+    refuse_clash(keep, "n_words", "n_hit", "item_ids", "spans", "cleaned")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
     weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-weight // PATTERN_BYTES) or 1

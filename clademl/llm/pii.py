@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clademl.llm.common import refuse_clash
+
 #: Fixed values of the base rules.
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -309,6 +311,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null or empty text: no span. Null or repeated ``doc_id``: each row on its own. An empty table
     gives no row (and no training). Other columns are not read unless kept.
     """
+    refuse_clash(keep, "base", "added", "base_joined", "added_joined", "joined", "redacted")
     sample = training_regions(docs, text_col, train_docs, train_regions)
     weights = docs.sparkSession.sparkContext.broadcast(train(sample) if sample else None)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clademl.llm.common import refuse_clash
 from clademl.llm.decontaminate import words
 
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
@@ -353,6 +354,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 5000, keep: t
     ``held_out`` null, scored like any row. Repeated rows: each scored. Without labels of both kinds
     the network stays untrained. An empty table gives no row.
     """
+    refuse_clash(keep, "held_out", "score", "predicted")
     sample = training_rows(docs, labels, train_docs)
     model = train(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)

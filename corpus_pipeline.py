@@ -14,22 +14,34 @@ from clademl.llm import decontaminate, minhash, packing, pii, toxicity
 from clademl.llm.common import bounded_broadcast, small_batches, stored, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column but ``doc_id`` and ``text`` under a reserved name, by place, so that no
+    column of the documents meets an operator's column of the same name."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"_document_{i}" for i, c in enumerate(docs.columns)))
+
+
 def _others(docs: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c != "doc_id")
 
 
-def _with_text(found: DataFrame, new: str, columns: list[str]) -> DataFrame:
+def _restored(found: DataFrame, carried: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*carried.columns).toDF(*docs.columns)
+
+
+def _with_text(found: DataFrame, new: str, carried: DataFrame, docs: DataFrame) -> DataFrame:
     """Replace ``text`` by the column ``new``; ``n_chars`` follows where the text changed."""
     changed = ~F.col("text").eqNullSafe(F.col(new))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(changed, F.char_length(new).cast(found.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col(new)).select(*columns)
+    if "n_chars" in docs.columns:
+        size = carried.columns[docs.columns.index("n_chars")]
+        found = found.withColumn(size, F.when(changed, F.char_length(new).cast(found.schema[size].dataType)).otherwise(F.col(size)))
+    return _restored(found.withColumn("text", F.col(new)), carried, docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents predicted toxic go."""
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=_others(docs))
-    return found.filter("predicted = 0").select(*docs.columns)
+    carried = _carried(docs)
+    found = toxicity.toxicity(carried, table(spark, sf_dir, "labels"), keep=_others(carried))
+    return _restored(found.filter("predicted = 0"), carried, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +54,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: benchmark passages are cut out of the texts; every document stays."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=_others(docs), with_cleaned=True)
-    return _with_text(found, "cleaned", docs.columns)
+    carried = _carried(docs)
+    found = decontaminate.contamination(carried, table(spark, sf_dir, "benchmark"), keep=_others(carried), with_cleaned=True)
+    return _with_text(found, "cleaned", carried, docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: spans of personal data become their kind in angle brackets; every document stays."""
     small_batches(spark)
-    found = pii.personal_data(docs, keep=_others(docs), with_redacted=True)
-    return _with_text(found, "redacted", docs.columns)
+    carried = _carried(docs)
+    found = pii.personal_data(carried, keep=_others(carried), with_redacted=True)
+    return _with_text(found, "redacted", carried, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

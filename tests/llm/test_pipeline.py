@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
-from clademl.llm import minhash, packing, pii, toxicity
+from clademl.llm import decontaminate, minhash, packing, pii, toxicity
 from clademl.llm.common import table
 from clademl.llm.encoders import ByteBpe
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 
@@ -204,3 +205,30 @@ def test_packing_stage(spark, docs, rows):
         assert at == len(ids)
     place = sorted((p["sequence_id"], p["offset"], p["length"]) for x in pieces.values() for p in x)
     assert all(a[0] * 2048 + a[1] + a[2] == b[0] * 2048 + b[1] for a, b in zip(place, place[1:]))
+
+
+CLASHING = ["score", "predicted", "held_out", "spans", "n_words", "n_hit", "item_ids", "cleaned", "base", "added", "joined",
+            "base_joined", "added_joined", "redacted", "kept", "component_id", "n_shingles", "_document_0", "n"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in c.STAGES])
+def test_stages_keep_columns_with_the_operators_names(spark, docs, name):
+    extra = docs.select("*", *(F.concat(F.lit(f"{x}/"), F.col("doc_id")).alias(x) for x in CLASHING))
+    got, want = STAGES[name](spark, extra, SF), STAGES[name](spark, docs, SF)
+    if name == "packing":
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        return
+    assert got.columns == extra.columns
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r[: len(docs.columns)] for r in rows) == sorted(map(tuple, want.collect()))
+    assert all(r[len(docs.columns) :] == tuple(f"{x}/{r[0]}" for x in CLASHING) for r in rows)
+
+
+def test_operators_refuse_kept_columns_with_their_names(spark, docs):
+    own = docs.withColumns({"Score": F.lit(1), "spans": F.lit(1), "base": F.lit(1)})
+    with pytest.raises(ValueError, match="score"):
+        toxicity.toxicity(own, table(spark, SF, "labels"), keep=("Score",))
+    with pytest.raises(ValueError, match="spans"):
+        decontaminate.contamination(own, table(spark, SF, "benchmark"), keep=("spans",))
+    with pytest.raises(ValueError, match="base"):
+        pii.personal_data(own, keep=("base",))
