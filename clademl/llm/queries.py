@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademl.llm import decontaminate, lm, minhash, packing, pii, pivots, secrets, suffixes, token_counts, toxicity
+from clademl.llm import clusters, decontaminate, lm, minhash, packing, pii, pivots, quality, runs, secrets, suffixes, token_counts, toxicity
 from clademl.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_embedding_pivot_index", pivots.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_line_rules", quality.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(quality.clean_lines(table(spark, sf_dir, "documents")))
+
+
+@_query("op12_centroid_clusters", clusters.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=runs.copied_tails))
