@@ -52,19 +52,19 @@ def _low(text: str) -> str:
 
 
 def failed_rule(line: str, words: int, rules: LineRules, symbols: bool = True, stock: tuple[str, ...] | None = None) -> str:
-    """The first rule that a line of ``words`` words breaks: ``punctuation``, ``navigation``, ``boilerplate``; or ``""``.
+    """The first rule that a line of ``words`` words breaks: ``navigation``, ``punctuation``, ``boilerplate``; or ``""``.
 
     ``symbols`` and ``stock`` may say that the whole text has no symbol, or which stock phrases it has.
     """
     line = line.strip(_WHITE)
-    if not re.search(rules.sentence, line):
-        return "punctuation"
-    if symbols and 100 * sum(map(line.count, SYMBOLS)) > rules.symbols_percent * (len(line) - sum(map(line.count, _WHITE))):
-        return "punctuation"
     if sum(map(line.count, _BARS)) > rules.most_separators:
         bars = len(re.findall(rules.separator, line))
         if bars > rules.most_separators and 100 * bars > rules.separator_percent * words:
             return "navigation"
+    if not re.search(rules.sentence, line):
+        return "punctuation"
+    if symbols and 100 * sum(map(line.count, SYMBOLS)) > rules.symbols_percent * (len(line) - sum(map(line.count, _WHITE))):
+        return "punctuation"
     stock = rules.boilerplate if stock is None else stock
     return "boilerplate" if stock and any(p in _low(line) for p in stock) else ""
 
@@ -166,9 +166,8 @@ v AS (SELECT r, h FROM g GROUP BY r, h HAVING count(*) > 1),
 p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS j FROM g SEMI JOIN v USING (r, h)) GROUP BY r),
 l AS (SELECT r, l, trim(l, E'\x20\x09\x0B\x0C\x0D') AS x, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
-f AS (SELECT r, l, n, CASE WHEN NOT regexp_matches(x, {q(rules.sentence)})
-    OR 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > {rules.symbols_percent} * {size} THEN 'p'
-  WHEN {bars} > {rules.most_separators} AND 100 * {bars} > {rules.separator_percent} * n THEN 'n'
+f AS (SELECT r, l, n, CASE WHEN {bars} > {rules.most_separators} AND 100 * {bars} > {rules.separator_percent} * n THEN 'n'
+  WHEN NOT regexp_matches(x, {q(rules.sentence)}) OR 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > {rules.symbols_percent} * {size} THEN 'p'
   WHEN {stock} THEN 'b' ELSE '' END AS f FROM l WHERE n > 0),
 s AS (SELECT r, count(*) AS lines, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (f = 'p') AS cp, count(*) FILTER (f = 'n') AS cn,
   count(*) FILTER (f = 'b') AS cb, coalesce(sum(n) FILTER (f = ''), 0) AS remain FROM f GROUP BY r),
