@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.exprs import order_key
+from ..operators import blocks as BL
 from ..operators import genotypes as N
 from ..operators import grids as G
+from ..operators import lasso_path as LP
 from ..operators import metrics as V
 from ..operators import models as M
 from ..operators import quality as Q
@@ -18,9 +21,11 @@ from ..operators import recipe as E
 from ..operators import resample as R
 from ..operators import tuning as T
 from ..operators.discovery import score
+from ..operators.ranking import global_rank
 from . import fixtures as fx
 from . import workflows as wf
-from .registry import query
+from .fixtures import FX5_SQL, with_ctes
+from .registry import query, r6
 
 LEVELS, NEG, POS = fx.LEVELS, fx.NEG, fx.POS
 OUT = ["row_id", "label", f"pred_{NEG}", f"pred_{POS}", "pred_class"]
@@ -150,48 +155,95 @@ def t13(spark, sf):
     return spark.createDataFrame(rows, "variable string, importance double")
 
 
-# ---------------------------------------------------------------- regression on dosages
-def _dosage_data(spark, sf):
-    g = N.remove_controls(fx.fx5(spark, sf), fx.CONTROL_SAMPLES)
-    g = N.impute_dosage(N.maf_filter(g))
-    vi = N.index_keys(g, N.VARIANT, "vi")
-    vec = N.dosage_vectors(g, vi)
-    sup = fx.table(spark, sf, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("iid"), F.col("s_acctbal").alias("y"))
-    return vec.join(sup, "iid"), vi
+# ---------------------------------------------------------------- regression on dosages
+def _imputed(spark, sf):
+    return N.impute_dosage(N.maf_filter(N.remove_controls(fx.fx5(spark, sf), fx.CONTROL_SAMPLES)))
+
+
+CV_FOLDS = 5
+
+
+def _dosage_rows(spark, sf, g):
+    """Samples with their target; a fifth by order key is the test set, the rest has folds dealt by the same rank."""
+    sup = fx.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("iid"), F.col("s_acctbal").alias("y"))
+    rows = g.select("fid", "iid").distinct().join(sup, "iid").withColumn("row_id", F.concat_ws("|", "fid", "iid"))
+    rank = global_rank(rows, order_key(3, "row_id"), rank_col="k")
+    fold = F.when(F.col("k") % 5 == 0, F.lit(LP.HELD)).otherwise((F.floor(F.col("k") / 5) % CV_FOLDS).cast("int"))
+    return rank.select("fid", "iid", "y", fold.alias("fold"))
+
+
+def _chain_input(spark, sf):
+    g = _imputed(spark, sf)
+    return BL.dosage_blocks(g), _dosage_rows(spark, sf, g)
+
+
+_DOSAGE_SQL = (
+    "cs AS (SELECT * FROM fx5 WHERE NOT regexp_matches(iid, '^(" + "|".join(fx.CONTROL_SAMPLES) + ")(_[0-9]+)?$')), "
+    "ms AS (SELECT chrom, pos, variant_id, avg(dosage) / 2 AS p, round(avg(dosage))::INTEGER AS fill FROM cs GROUP BY ALL), "
+    "im AS (SELECT fid, iid, variant_id, coalesce(dosage, fill) AS d FROM cs JOIN ms USING (chrom, pos, variant_id) WHERE least(p, 1 - p) >= 0.01), "
+    "rk AS (SELECT fid, iid, y, row_number() OVER (ORDER BY md5(concat_ws('|', '3', fid || '|' || iid))) AS k FROM "
+    "(SELECT DISTINCT fid, iid FROM im) JOIN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS iid, s_acctbal AS y FROM supplier) USING (iid)), "
+    f"tg AS (SELECT fid, iid, y, CASE WHEN k % 5 = 0 THEN -1 ELSE (k // 5) % {CV_FOLDS} END AS fold FROM rk)"
+)
+
+
+@query("n10_dosage_blocks", with_ctes(FX5_SQL) + "SELECT fid, iid, chrom, pos, variant_id, dosage FROM fx5 WHERE dosage IS NULL OR dosage <> 0")
+def n10b(spark, sf):
+    """Every cell of the blocked matrix back in long form: a failed call stays NULL, only zeros are left out."""
+    return BL.block_cells(BL.dosage_blocks(fx.fx5(spark, sf)))
+
+
+@query("f8_matrix_means", with_ctes(FX5_SQL) + "SELECT variant_id, round(coalesce(sum(dosage), 0) / ((SELECT count(*) FROM (SELECT DISTINCT fid, iid FROM fx5)) "
+       "- count(*) FILTER (dosage IS NULL)), 6) AS mean FROM fx5 GROUP BY chrom, pos, variant_id")
+def f8m(spark, sf):
+    b = BL.dosage_blocks(fx.fx5(spark, sf))
+    return r6(BL.variant_means(b).join(b.variants, "vi").select("variant_id", "mean"))
 
 
 @query("m3_lasso_linear_coefs")
 def m3(spark, sf):
-    d, vi = _dosage_data(spark, sf)
-    m = M.lasso_linear(lam=50.0, alpha=1.0).fit(d)
-    names = [r["variant_id"] for r in vi.orderBy("vi").collect()]  # p names, one per coefficient
-    coefs = spark.createDataFrame(M.coef_table(m, names), "variable string, coef double")
-    return Q.nonzero(coefs, "coef")
+    """Non-zero coefficients at one fixed penalty (F7, M12), names joined from the variant table."""
+    b, rows = _chain_input(spark, sf)
+    path = LP.lasso_path(b, rows.withColumn("fold", F.lit(0)), lambdas=[50.0])
+    return Q.nonzero(path.coefficients.select("variant_id", "coef"), "coef")
+
+
+@query("m3_lambda_max", with_ctes(
+    FX5_SQL, _DOSAGE_SQL, "tr AS (SELECT * FROM tg WHERE fold >= 0)", "st AS (SELECT count(*) AS n, avg(y) AS my FROM tr)",
+    "xs AS (SELECT variant_id, sum(d) AS sx, sum(d * d) AS sxx, sum(d * (y - my)) AS sxy FROM im JOIN tr USING (fid, iid), st GROUP BY variant_id)",
+    "lm AS (SELECT max(abs(sxy) / n / sqrt(sxx / n - (sx / n) * (sx / n))) AS lam FROM xs, st WHERE sxx / n - (sx / n) * (sx / n) > 1e-12)",
+    "fm AS (SELECT f.fold, (SELECT avg(y) FROM tr WHERE tr.fold <> f.fold) AS m FROM (SELECT DISTINCT fold FROM tr) f)",
+    "fe AS (SELECT fold, avg((y - m) * (y - m)) AS e FROM tr JOIN fm USING (fold) GROUP BY fold)")
+    + "SELECT round(lam, 6) AS lam, round(my, 6) AS intercept, 0 AS nonzero, round((SELECT avg(e) FROM fe), 4) AS cvm, "
+      "round((SELECT stddev_samp(e) / sqrt(count(*)) FROM fe), 4) AS cvsd FROM lm, st")
+def m3max(spark, sf):
+    """Above lambda-max no variant is in: the prediction is the training mean, in fit 0 and in every fold."""
+    b, rows = _chain_input(spark, sf)
+    path = LP.lasso_path(b, rows, lambdas=[1e9])
+    return path.cv.select(F.round(F.lit(path.lam_max), 6).alias("lam"), F.round("intercept", 6).alias("intercept"), "nonzero",
+                          F.round("cvm", 4).alias("cvm"), F.round("cvsd", 4).alias("cvsd"))
 
 
 @query("m4_cv_lambda")
 def m4(spark, sf):
-    """k-fold MSE per lambda (same alpha in CV and fit), lambda.min, then the refined local sequence."""
-    d, _ = _dosage_data(spark, sf)
-    d = d.withColumn("row_id", F.concat_ws("|", "fid", "iid"))
-    folds = R.vfold(d, v=5, repeats=1, seed=3)
-    lambdas = [10.0 ** e for e in (0.0, 1.0, 2.0)]
-    preds = T.fit_resample_cells(d, folds, None, lambda c: M.lasso_linear(lam=c["lam"], alpha=1.0),
-                                 [{"lam": x} for x in lambdas], LEVELS, label="y",
-                                 keep=["prediction"])
-    mse = V.mse(preds, "y", "prediction", by=["cell_id", "fold"])
-    cv = mse.groupBy("cell_id").agg(F.avg("mse").alias("cvm"), (F.stddev_samp("mse") / F.sqrt(F.count("mse"))).alias("cvsd"))
-    return T.with_grid(cv, [{"lam": x} for x in lambdas])
+    """The chain in one entry: k-fold errors along 100 penalties, then along the refined sequence around the best (G6); the
+    refined row at the best penalty carries the refit's coefficients (M12) and its error and correlation on the test rows (M11)."""
+    chain = LP.lambda_chain(*_chain_input(spark, sf))
+    stage = lambda path, name: path.cv.withColumn("stage", F.lit(name))
+    rows = stage(chain.coarse, "path").unionByName(stage(chain.refined, "refined"))
+    best = (F.col("stage") == "refined") & (F.abs(F.col("lam") - F.lit(chain.lambda_min)) <= F.lit(1e-9 * chain.lambda_min))
+    coefs = chain.coefficients.agg(F.sort_array(F.collect_list(F.struct("variant_id", "coef"))).alias("coefficients"))  # at most max_features
+    test = chain.test.select(F.col("mse").alias("test_mse"), F.col("corr").alias("test_corr"), F.lit(True).alias("best"))
+    refit = coefs.withColumn("best", F.lit(True)).join(test, "best")  # one row each
+    return rows.withColumn("best", best).join(refit, "best", "left")
 
 
 @query("m11_predict_corr")
 def m11(spark, sf):
-    d, _ = _dosage_data(spark, sf)
-    tr = d.filter(F.pmod(F.xxhash64("iid"), F.lit(4)) != 0)
-    te = d.filter(F.pmod(F.xxhash64("iid"), F.lit(4)) == 0)
-    m = M.lasso_linear(lam=10.0).fit(tr)
-    return V.mse(m.transform(te), "y", "prediction")
+    """Linear prediction of the test rows at one penalty: error and correlation."""
+    b, rows = _chain_input(spark, sf)
+    path = LP.lasso_path(b, rows.withColumn("fold", F.when(F.col("fold") == LP.HELD, LP.HELD).otherwise(0)), lambdas=[400.0])
+    return V.mse(path.predict(400.0).filter(F.col("fold") == LP.HELD), "y", "prediction")
 
 
 @query("t7_train_many")
