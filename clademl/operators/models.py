@@ -34,6 +34,10 @@ from ..functions.exprs import case_map
 LABEL_INDEX = "label_index"
 
 
+class NotConverged(RuntimeError):
+    """A solver that did not reach its tolerance; tuning records the fit as failed."""
+
+
 # ---------------------------------------------------------------- spark ML learners
 def lasso_logit(penalty: float, weight_col: str | None = None, features: str = "features",
                 label: str = LABEL_INDEX, max_iter: int = 100) -> LogisticRegression:
@@ -209,6 +213,8 @@ class OneClassSVM(Estimator):
         self.features, self.max_iter, self.tol, self.n_input = features, max_iter, tol, n_input
 
     def _fit(self, df: DataFrame) -> OneClassSVMModel:
+        if not 0 < self.nu <= 1:
+            raise ValueError(f"nu is a share above 0, not {self.nu}")
         p = self.n_input or len(df.select(self.features).first()[0])
         rff = RandomFourier(inputCol=self.features, outputCol="__rff", nComponents=self.D, sigma=self.sigma,
                             seed=self.seed, nInput=p)
@@ -229,7 +235,7 @@ class OneClassSVM(Estimator):
             w = share @ np.array(atoms)
         else:
             z.unpersist()
-            raise RuntimeError(f"one-class SVM: gap {history[-1]:.3g} after {self.max_iter} steps, above {self.tol} of w.w")
+            raise NotConverged(f"one-class SVM: gap {history[-1] if history else math.inf:.3g} after {self.max_iter} steps, above {self.tol} of w.w")
         rho = z.withColumn("__s", _dot(w)).approxQuantile("__s", [self.nu], 1e-4)[0]
         z.unpersist()
         return OneClassSVMModel(rff, w, rho, history)

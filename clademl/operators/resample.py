@@ -11,7 +11,7 @@ import hashlib
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hex_to_long, order_key
@@ -76,12 +76,6 @@ def vfold(df: DataFrame, v: int = 10, repeats: int = 1, seed: int = 42, strata:
     return r.withColumn("fold", F.pmod(F.col("__rank") - 1, F.lit(int(v))).cast("int")).drop("__rank")
 
 
-def analysis_assessment(df: DataFrame, folds: DataFrame, repeat: int, fold: int, key: str = "row_id"):
-    """Rows of one resample: (analysis, assessment)."""
-    f = folds.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select(key)
-    return df.join(f, key, "left_anti"), df.join(f, key, "left_semi")
-
-
 def upsample(df: DataFrame, label: str, ratio: float = 1.0, seed: int = 42, key: str = "row_id",
              copy_col: str = "copy") -> DataFrame:
     """Grow every class to ``floor(ratio * n_max)`` rows by drawing with replacement.
@@ -103,17 +97,75 @@ def upsample(df: DataFrame, label: str, ratio: float = 1.0, seed: int = 42, key:
         m = target - n_c
         if m <= 0:
             continue
+        kind = "int" if m < 1 << 31 else "long"
         draws = spark.range(0, m).select(
-            F.lit(cls).alias(label),
-            (F.col("id") + 1).cast("int").alias(copy_col),
+            (F.col("id") + 1).cast(kind).alias(copy_col),
             (F.lit(1) + F.pmod(hex_to_long(order_key(seed, F.lit("u"), F.col("id"))), F.lit(n_c))).alias("__rank"))
-        side = ranked.filter(F.col(label) == cls)
+        side = ranked.filter(F.col(label).eqNullSafe(F.lit(cls)))
         side = F.broadcast(side) if n_c <= DRAW_BROADCAST_ROWS else side
-        extra = draws.join(side, [label, "__rank"]).drop("__rank")
+        extra = draws.join(side, "__rank").drop("__rank")
         out = out.unionByName(extra.select(*out.columns))
     return out
 
 
+#: Draws that one row of the draw table stands for before it is spread.
+DRAW_BLOCK = 10_000
+
+
+def in_analysis(df: DataFrame, folds: DataFrame, label: str, key: str) -> DataFrame:
+    """``(key, label, repeat, fold)``: every row once for each resample whose analysis set it is in. Labels come
+    from ``df``; no feature column is copied."""
+    ids = folds.select("repeat", "fold").distinct().groupBy("repeat").agg(F.collect_set("fold").alias("all"))  # v numbers a repeat
+    f = folds.select(key, "repeat", F.col("fold").alias("__own")).join(F.broadcast(ids), "repeat")
+    f = f.select(key, "repeat", F.explode(F.array_remove("all", F.col("__own"))).alias("fold"))
+    return f.join(df.select(key, label), key)
+
+
+def fold_class_counts(df: DataFrame, folds: DataFrame, label: str, key: str = "row_id") -> DataFrame:
+    """``(repeat, fold, label, n)``: rows of each class in every analysis set, as the repeat's total minus the fold."""
+    per = folds.select(key, "repeat", "fold").join(df.select(key, label), key).groupBy("repeat", "fold", label).agg(F.count(F.lit(1)).alias("own"))
+    total = per.groupBy("repeat", label).agg(F.sum("own").alias("all"))
+    pairs = per.select("repeat", "fold").distinct().join(total, "repeat")
+    own = per.select(F.col("repeat").alias("__r"), F.col("fold").alias("__f"), F.col(label).alias("__l"), "own")
+    same = (F.col("repeat") == F.col("__r")) & (F.col("fold") == F.col("__f")) & F.col(label).eqNullSafe(F.col("__l"))
+    n = (F.col("all") - F.coalesce("own", F.lit(0))).alias("n")
+    return pairs.join(own, same, "left").select("repeat", "fold", label, n).filter(F.col("n") > 0)
+
+
+def fold_class_weights(df: DataFrame, folds: DataFrame, label: str, key: str = "row_id", out: str = "weight") -> DataFrame:
+    """A18 per resample: balanced weights ``N / (K * n_c)`` over the analysis rows, ``(repeat, fold, label, weight)``.
+
+    A NULL label is a class of its own. The table has classes x resamples rows."""
+    c = fold_class_counts(df, folds, label, key)
+    whole = Window.partitionBy("repeat", "fold")  # one row per class
+    return c.select("repeat", "fold", label, (F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))).alias(out))
+
+
+def fold_multiplicities(df: DataFrame, folds: DataFrame, label: str, ratio: float = 1.0, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """R8 inside every analysis set: how often each row counts when its class grows to ``floor(ratio * largest)``
+    rows by drawing with replacement: ``(key, repeat, fold, copies)``, ``copies >= 1``, held-out rows absent.
+
+    Draw ``j`` of a class takes the analysis row of rank ``1 + hex8(md5(seed|u|repeat|fold|label|j)) mod n_c``, ranks
+    by the order key inside (repeat, fold, class). The copies of a class add up to the target exactly, and no
+    row is copied: the learner takes them as weights. Draws are made in blocks of 10,000, so no row stands for an
+    unbounded number of them; a NULL label is a class of its own.
+    """
+    counts = fold_class_counts(df, folds, label, key)
+    most = F.max("n").over(Window.partitionBy("repeat", "fold"))
+    short = counts.withColumn("__m", F.floor(most * F.lit(float(ratio))).cast("long") - F.col("n")).filter("__m > 0")
+    blocks = short.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / DRAW_BLOCK))).alias("__b"))
+    first = F.col("__b") * DRAW_BLOCK
+    draws = blocks.select("repeat", "fold", F.col(label).alias("__l"), "n",
+                          F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, F.col("__m")) - 1)).alias("__j"))
+    rank = F.lit(1) + F.pmod(hex_to_long(order_key(seed, F.lit("u"), "repeat", "fold", "__l", "__j")), F.col("n"))
+    hits = draws.select(F.col("repeat").alias("__r"), F.col("fold").alias("__f"), "__l", rank.alias("__k")).groupBy("__r", "__f", "__l", "__k").agg(
+        F.count(F.lit(1)).alias("__hits"))
+    ranked = global_rank(in_analysis(df, folds, label, key), order_key(seed, key), strata=["repeat", "fold", label], rank_col="__rank")
+    same = ((F.col("repeat") == F.col("__r")) & (F.col("fold") == F.col("__f")) & F.col(label).eqNullSafe(F.col("__l"))
+            & (F.col("__rank") == F.col("__k")))
+    return ranked.join(hits, same, "left").select(key, "repeat", "fold", (F.lit(1) + F.coalesce("__hits", F.lit(0))).cast("long").alias("copies"))
+
+
 def column_keep_prob(false_reps: float) -> float:
     return 1.0 / (1.0 + false_reps)
 

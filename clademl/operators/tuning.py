@@ -3,12 +3,14 @@
 Fits are distributed Spark ML jobs submitted from a bounded driver thread pool
 (as ``CrossValidator(parallelism=...)`` does). Per resample the recipe is refitted
 on the analysis rows once and its output cached; every grid cell then fits only
-the learner. All held-out predictions are unioned into one DataFrame and every
-metric comes from one grouped aggregation over ``(cell_id, repeat, fold)``.
+the learner. Each resample's held-out predictions go to one shared table and every
+metric comes from one grouped aggregation of it over ``(cell_id, repeat, fold)``.
+Penalised logistic regression has a way of its own (``linear_tuning``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as V
-from .models import class_probabilities
+from .models import NotConverged, class_probabilities
+from .resample import fold_class_weights, fold_multiplicities, in_analysis
+from ..session import checkpoint_dir, stored
 
 
 def _prob_cols(preds: DataFrame, levels: Sequence[str]) -> DataFrame:
@@ -43,18 +47,36 @@ def split_resample(tagged: DataFrame, repeat: int, fold: int) -> tuple[DataFrame
     return a, b
 
 
+#: Column with the weight of an analysis row under ``balance``.
+WEIGHT = "__weight"
+
+
+def fold_weights(df: DataFrame, folds: DataFrame, label: str, balance: str, key: str = "row_id", ratio: float = 1.0, seed: int = 42) -> DataFrame:
+    """``(key, repeat, fold, __weight)`` of every analysis row: balanced class weights (A18) or the copies of upsampling."""
+    if balance == "upsample":
+        return fold_multiplicities(df, folds, label, ratio, seed, key).withColumn(WEIGHT, F.col("copies").cast("double")).drop("copies")
+    if balance != "weights":
+        raise ValueError(f"unknown balance {balance!r}")
+    w = fold_class_weights(df, folds, label, key, WEIGHT).withColumnsRenamed({"repeat": "__r", "fold": "__f", label: "__l"})
+    return in_analysis(df, folds, label, key).join(F.broadcast(w), (F.col("repeat") == F.col("__r")) & (F.col("fold") == F.col("__f"))
+                                                   & F.col(label).eqNullSafe(F.col("__l"))).select(key, "repeat", "fold", WEIGHT)
+
+
 def fit_resample_cells(df: DataFrame, folds: DataFrame, make_recipe: Callable[[], Pipeline] | None,
                        make_model: Callable[[Mapping], object], grid: Sequence[Mapping], levels: Sequence[str],
                        key: str = "row_id", label: str = "label", keep: Sequence[str] = (),
-                       parallelism: int = 4) -> DataFrame:
+                       parallelism: int = 4, balance: str | None = None) -> DataFrame:
     """Held-out predictions of every (cell, resample): ``(cell_id, repeat, fold, key, label, pred_*)``.
 
-    A failed fit yields no prediction rows for its (cell, resample); metrics then
-    come out NULL/absent for it, like the reference's error guard.
+    Each resample's predictions are written to one shared table as its cells finish and its cached rows released,
+    so the result is a scan whatever the number of fits. A cell whose parameters the model refuses or whose solver does
+    not converge has no prediction rows; :func:`tune` and :func:`with_failed` give it NULL metrics. ``balance``
+    (``"weights"`` or ``"upsample"``) weighs the analysis rows of every resample (learners need a weight column).
     """
-    resamples = [(r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect()]
-    pieces: list[DataFrame] = []
+    resamples = sorted((r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect())
     tagged = with_folds(df, folds, key)
+    weights = stored(fold_weights(df, folds, label, balance, key), "weights") if balance else None
+    root = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/clademl-fits-{uuid.uuid4().hex}"
 
     def run_resample(rf):
         rep, fold = rf
@@ -65,37 +87,76 @@ def fit_resample_cells(df: DataFrame, folds: DataFrame, make_recipe: Callable[[]
             b = prep.transform(assessment)
         else:
             a, b = analysis, assessment
+        if weights is not None:
+            a = a.join(weights.filter((F.col("repeat") == rep) & (F.col("fold") == fold)).select(key, WEIGHT), key)
         a = a.persist(StorageLevel.MEMORY_AND_DISK)
         b = b.persist(StorageLevel.MEMORY_AND_DISK)
-        out = []
-        for i, cell in enumerate(grid):
-            try:
-                m = make_model(cell).fit(a)
-            except (IllegalArgumentException, ValueError):  # parameters the model refuses; anything else is a failed run
-                continue
-            p = _prob_cols(m.transform(b), levels)
-            cols = [key, label, *keep] + [c for c in p.columns if c.startswith("pred_") or c == "decision"]
-            out.append(p.select(F.lit(i).alias("cell_id"), F.lit(rep).alias("repeat"), F.lit(fold).alias("fold"),
-                                *cols))
-        return out
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for res in pool.map(run_resample, resamples):
-            pieces.extend(res)
-    if not pieces:
+        try:
+            out = None
+            for i, cell in enumerate(grid):
+                learner = make_model(cell)
+                if weights is not None:
+                    learner.setWeightCol(WEIGHT)
+                try:
+                    m = learner.fit(a)
+                except (IllegalArgumentException, ValueError, NotConverged):  # anything else is a failed run
+                    continue
+                p = _prob_cols(m.transform(b), levels)
+                cols = [key, label, *keep] + [c for c in p.columns if c.startswith("pred_") or c == "decision"]
+                p = p.select(F.lit(i).alias("cell_id"), F.lit(rep).alias("repeat"), F.lit(fold).alias("fold"), *cols)
+                out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+            if out is None:
+                return None
+            path = f"{root}/r{rep}f{fold}"
+            out.write.parquet(path)
+            return out.schema
+        finally:
+            a.unpersist()
+            b.unpersist()
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            schemas = [s for s in pool.map(run_resample, resamples) if s is not None]
+    finally:
+        tagged.unpersist()
+    if not schemas:
         raise RuntimeError("every fit failed")
-    u = pieces[0]
-    for p in pieces[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return u
+    widest = max(schemas, key=lambda s: len(s.fields))
+    return df.sparkSession.read.schema(widest).parquet(f"{root}/*")
+
+
+def with_failed(m: DataFrame, folds: DataFrame, cells: int, names: Sequence[str] = ()) -> DataFrame:
+    """Metric rows of every (cell, resample), with a NULL value where the fit failed. ``names``: the
+    metrics of a long table."""
+    keys = ["cell_id", "repeat", "fold"] + (["metric"] if names else [])
+    every = folds.select(F.col("repeat").cast("int").alias("repeat"), F.col("fold").cast("int").alias("fold")).distinct().withColumn(
+        "cell_id", F.explode(F.array(*[F.lit(i) for i in range(cells)])))
+    if names:
+        every = every.withColumn("metric", F.explode(F.array(*[F.lit(n) for n in names])))
+    return every.join(m, keys, "left").select(*m.columns)
+
+
+METRICS = ("accuracy", "mcc", "kap", "roc_auc", "brier_class")
 
 
 def tune(df: DataFrame, folds: DataFrame, make_recipe, make_model, grid: Sequence[Mapping], levels: Sequence[str],
-         event: str, positive: str, key: str = "row_id", label: str = "label", parallelism: int = 4) -> DataFrame:
+         event: str, positive: str, key: str = "row_id", label: str = "label", parallelism: int = 4, balance: str | None = None) -> DataFrame:
     """Long metrics ``(cell_id, repeat, fold, metric, estimator, estimate)`` with
-    roc_auc, accuracy, mcc, kap, brier_class per (cell, resample)."""
-    preds = fit_resample_cells(df, folds, make_recipe, make_model, grid, levels, key, label, parallelism=parallelism)
-    return V.metric_set(preds, label, "pred_class", f"pred_{event}", event, positive, by=["cell_id", "repeat", "fold"])
+    roc_auc, accuracy, mcc, kap, brier_class per (cell, resample); NULL for a failed fit."""
+    preds = fit_resample_cells(df, folds, make_recipe, make_model, grid, levels, key, label, parallelism=parallelism, balance=balance)
+    m = V.metric_set(preds, label, "pred_class", f"pred_{event}", event, positive, by=["cell_id", "repeat", "fold"])
+    return with_failed(m, folds, len(grid), METRICS).withColumn("estimator", F.lit("binary"))
+
+
+def tune_oneclass(normal: DataFrame, folds: DataFrame, make_recipe, grid: Sequence[Mapping], make_model: Callable[[Mapping], object],
+                  key: str = "row_id", label: str = "label", parallelism: int = 4) -> DataFrame:
+    """``(cell_id, score)``, the mean share of held-out normal rows that each cell's model accepts. A cell with a fit
+    that failed or did not converge has a NULL score."""
+    preds = fit_resample_cells(normal, folds, make_recipe, make_model, grid, (), key, label, parallelism=parallelism)
+    per = preds.groupBy("cell_id", "repeat", "fold").agg(F.avg((F.col("decision") >= 0).cast("double")).alias("score"))
+    per = with_failed(per, folds, len(grid))
+    whole = F.count("score") == F.count(F.lit(1))
+    return per.groupBy("cell_id").agg(F.when(whole, F.avg("score")).alias("score"))
 
 
 def collect_metrics(m: DataFrame, keys: Sequence[str] = ("cell_id",), metric: str = "metric",

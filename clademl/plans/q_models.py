@@ -14,6 +14,7 @@ from ..operators import blocks as BL
 from ..operators import genotypes as N
 from ..operators import grids as G
 from ..operators import lasso_path as LP
+from ..operators import linear_tuning as LT
 from ..operators import metrics as V
 from ..operators import models as M
 from ..operators import quality as Q
@@ -21,10 +22,12 @@ from ..operators import recipe as E
 from ..operators import resample as R
 from ..operators import tuning as T
 from ..operators.discovery import score
+from ..operators.quality import complete_cases
 from ..operators.ranking import global_rank
 from . import fixtures as fx
 from . import workflows as wf
-from .fixtures import FX5_SQL, with_ctes
+from .fixtures import FX1_SQL, FX5_SQL, with_ctes
+from .q_evaluation import _vfold_sql
 from .registry import query, r6
 
 LEVELS, NEG, POS = fx.LEVELS, fx.NEG, fx.POS
@@ -106,12 +109,60 @@ def e6(spark, sf):
 
 @query("t1_tune_lasso")
 def t1(spark, sf):
+    """20 penalties x 5 folds x 3 repeats, upsampled inside each analysis set: 300 fits from shared passes."""
     train, _ = wf.flagship_split(spark, sf)
-    folds = R.vfold(train, v=3, repeats=1, seed=7, strata="label")
-    grid = [{"penalty": g["penalty"]} for g in G.grid_log(-3, -1, 3)]
-    m = T.tune(train, folds, lambda: E.recipe(fx.FEATURES, ("zv", "corr", "normalize")),
-               lambda c: M.lasso_logit(c["penalty"], max_iter=30), grid, LEVELS, NEG, POS)
-    return T.with_grid(T.collect_metrics(m), grid)
+    folds = R.vfold(train, v=5, repeats=3, seed=7, strata="label")
+    grid = G.grid_log(-5, 0, 20)
+    got = LT.tune_linear(train, folds, fx.FEATURES, grid, LEVELS, NEG, POS, balance="upsample", corr_threshold=0.95)
+    return T.with_grid(T.collect_metrics(got.metrics), [{"penalty": g["penalty"]} for g in grid])
+
+
+# Complete cases of FX1 without a split: rows with a NULL feature are those with one in f65.
+_CC_SQL = "cc AS (SELECT row_id, label FROM fx1 WHERE f65 IS NOT NULL)"
+_CC_FOLDS_SQL = _vfold_sql("cc", 3, 2, "label")
+
+
+@query("t5_null_fit", with_ctes(FX1_SQL, _CC_SQL, f"fo AS ({_CC_FOLDS_SQL})",
+       "s AS (SELECT repeat, fold, count(*) FILTER (label = 'Probiotic') AS k, count(*) AS n FROM fo GROUP BY ALL)",
+       "t AS (SELECT repeat, sum(k) AS k, sum(n) AS n FROM s GROUP BY repeat)")
+       + "SELECT row_id, label, repeat, fold, round((t.k - s.k) / (t.n - s.n), 5) AS pred_positive, CASE WHEN 2 * (t.k - s.k) <= t.n - s.n THEN 'Nonprobiotic' "
+         "ELSE 'Probiotic' END AS pred_class FROM fo JOIN s USING (repeat, fold) JOIN t USING (repeat)")
+def t5(spark, sf):
+    """Fixed-model resampling at a penalty that leaves no feature: each row's prediction is its analysis set's class share."""
+    data = complete_cases(fx.fx1(spark, sf), fx.FEATURES)
+    folds = R.vfold(data, v=3, repeats=2, seed=42, strata="label")
+    got = LT.tune_linear(data, folds, fx.FEATURES, [{"penalty": 10.0}], LEVELS, NEG, POS, tol=1e-8)
+    return got.predictions.select("row_id", "label", "repeat", "fold", F.round(f"pred_{POS}", 5).alias("pred_positive"), "pred_class")
+
+
+_FOLD_COUNTS_SQL = (
+    f"fo AS ({_vfold_sql('fx1', 5, 3, 'label')})",
+    "fc AS (SELECT repeat, fold, label, count(*) AS n FROM fo GROUP BY ALL)",
+    "an AS (SELECT f.repeat, f.fold, t.label, t.n - coalesce(fc.n, 0) AS n FROM (SELECT DISTINCT repeat, fold FROM fo) f "
+    "JOIN (SELECT repeat, label, sum(n)::BIGINT AS n FROM fc GROUP BY ALL) t USING (repeat) LEFT JOIN fc USING (repeat, fold, label))",
+)
+
+
+@query("a18_fold_weights", with_ctes(FX1_SQL, *_FOLD_COUNTS_SQL) + "SELECT repeat, fold, label, round(sum(n) OVER (PARTITION BY repeat, fold) / "
+       "(count(*) OVER (PARTITION BY repeat, fold) * n), 6) AS weight FROM an")
+def a18f(spark, sf):
+    """Class weights of every analysis set, from the fold counts."""
+    d = fx.fx1(spark, sf).select("row_id", "label")
+    return r6(R.fold_class_weights(d, R.vfold(d, v=5, repeats=3, seed=42, strata="label"), "label"))
+
+
+@query("r8_fold_copies", with_ctes(
+    FX1_SQL, *_FOLD_COUNTS_SQL,
+    "rk AS (SELECT fo.row_id, fo.label, fo.repeat, a.fold, row_number() OVER (PARTITION BY fo.repeat, a.fold, fo.label ORDER BY md5(concat_ws('|', '42', fo.row_id))) AS k "
+    "FROM fo JOIN (SELECT DISTINCT repeat, fold FROM fo) a ON a.repeat = fo.repeat AND a.fold <> fo.fold)",
+    "mx AS (SELECT repeat, fold, max(n) AS most FROM an GROUP BY ALL)",
+    "dr AS (SELECT repeat, fold, label, n, unnest(range(0, most - n)) AS j FROM an JOIN mx USING (repeat, fold))",
+    "hi AS (SELECT repeat, fold, label, 1 + (('0x' || substr(md5(concat_ws('|', '42', 'u', repeat, fold, label, j)), 1, 8))::BIGINT % n) AS k, count(*) AS hits FROM dr GROUP BY ALL)")
+    + "SELECT row_id, repeat, fold, 1 + coalesce(hits, 0) AS copies FROM rk LEFT JOIN hi USING (repeat, fold, label, k)")
+def r8f(spark, sf):
+    """How often every analysis row counts when its class is grown to the largest one's size, in all 15 resamples."""
+    d = fx.fx1(spark, sf).select("row_id", "label")
+    return R.fold_multiplicities(d, R.vfold(d, v=5, repeats=3, seed=42, strata="label"), "label")
 
 
 @query("t4_last_fit")
@@ -123,17 +174,13 @@ def t4(spark, sf):
 
 @query("t6_tune_oneclass")
 def t6(spark, sf):
-    """Score = mean inlier share of held-out normal rows; a failed cell would give no row."""
+    """Score = mean inlier share of held-out normal rows; NULL for a cell that fails (nu = 2 is no share)."""
     train, _ = wf.flagship_split(spark, sf)
     normal = Q.keep_class(train, "label", POS)
     folds = R.vfold(normal, v=3, repeats=1, seed=7)
-    grid = [{"nu": 0.05, "sigma": 0.01}, {"nu": 0.2, "sigma": 0.01}]
-    preds = T.fit_resample_cells(
-        normal, folds, lambda: E.recipe(fx.FEATURES), lambda c: M.OneClassSVM(nu=c["nu"], sigma=c["sigma"],
-                                                                                n_components=64),
-        grid, LEVELS)
-    per = preds.groupBy("cell_id", "repeat", "fold").agg(F.avg((F.col("decision") >= 0).cast("double")).alias("score"))
-    return T.with_grid(per.groupBy("cell_id").agg(F.avg("score").alias("score")), grid)
+    grid = [{"nu": 0.05, "sigma": 0.01}, {"nu": 0.2, "sigma": 0.01}, {"nu": 2.0, "sigma": 0.01}]
+    scores = T.tune_oneclass(normal, folds, lambda: E.recipe(fx.FEATURES), grid, lambda c: M.OneClassSVM(nu=c["nu"], sigma=c["sigma"], n_components=64))
+    return T.with_grid(scores, grid)
 
 
 @query("t12_rfe_profile")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back: later readers prune
+    columns, and open committed files whichever executors are still there."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/clademl-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Cache for repeated use (recomputed from lineage if an executor is lost)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
