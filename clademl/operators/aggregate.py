@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
 from .ranking import running_totals
 
 SUMMARY_PROBS = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
@@ -57,7 +58,7 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str, probs
         .persist(StorageLevel.MEMORY_AND_DISK)  # distinct values: read by the running count and the totals
     rt = running_totals(v, value, ["__c"], groups=groups, suffix="_below")
     if groups:
-        rt = rt.join(v.groupBy(*groups).agg(F.sum("__c").alias("__n")), groups)
+        rt = null_safe_join(rt, v.groupBy(*groups).agg(F.sum("__c").alias("__n")), groups)
     else:  # one total: a scalar, attached as a literal
         rt = rt.withColumn("__n", F.lit(v.agg(F.sum("__c")).first()[0] or 0).cast("long"))
     rows = []
@@ -89,7 +90,7 @@ def summarize(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
         F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_missing"), F.avg("x").alias("mean"))
     qs = exact_quantiles(long, by + ["variable"], "x", SUMMARY_PROBS)
     wide = qs.groupBy(*by, "variable").pivot("stat", list(SUMMARY_PROBS)).agg(F.first("q"))
-    return basic.join(wide, by + ["variable"], "left")
+    return null_safe_join(basic, wide, by + ["variable"], "left")
 
 
 # Suffixes of the per-metric statistics of the replicate study.
@@ -172,18 +173,15 @@ def mismatch_count(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Dat
                                F.count(F.lit(1)).alias("n"))
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
-    """Balanced weights ``N / (K * n_c)`` attached to every row.
+def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Balanced weights ``N / (K * n_c)`` attached to every row; a NULL label is a class of its own.
 
-    The class table has K rows; it is broadcast only after checking K.
+    The class table joins as it is: Spark broadcasts it only if its measured size is small.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    k = counts.count()
-    if k > max_classes:
-        raise ValueError(f"{k} classes: not a classification label")
-    total = F.sum("__nc").over(Window.partitionBy())  # K rows only
-    wt = counts.select(label, (total / (F.lit(k) * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(wt), label, "left")
+    whole = counts.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    wt = counts.select(label, (F.lit(whole["n"] or 0) / (F.lit(whole["k"]) * F.col("__nc"))).alias(out))
+    return null_safe_join(df, wt, [label], "left")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import drop_samples
@@ -123,31 +123,76 @@ def qc_filter(g: DataFrame, max_missing: float = GENO_MAX, min_maf: float = MAF_
     return _keep(g, keep)
 
 
-def bp_space(g: DataFrame, d: int = 1) -> DataFrame:
+def bp_space(g: DataFrame, d: int = 1, block_bp: int = 1_000_000) -> DataFrame:
     """Thin variants closer than ``d`` bp.
 
     d = 1: one variant per (chrom, pos), the lowest variant id (a plain aggregate).
     d > 1: greedy from the start of each chromosome -- keep a site, drop every site
-    closer than ``d`` to the last kept one. The scan is sequential, so it runs per
-    chromosome in ``applyInPandas`` over the distinct *sites* (not the calls); the
-    kept variants then filter the calls with a semi join.
+    closer than ``d`` to the last kept one (:func:`greedy_sites`); the kept variants then
+    filter the calls with a semi join. Sites without a position are dropped for d > 1.
     """
     first = g.groupBy("chrom", "pos").agg(F.min("variant_id").alias("variant_id")).select(*VARIANT)
-    if d <= 1:
-        return _keep(g, first)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "variant_id"])
-        keep, last = [], None
-        for pos in pdf["pos"].to_numpy():
-            ok = last is None or pos - last >= d
-            keep.append(ok)
-            if ok:
-                last = pos
-        return pdf.loc[keep, VARIANT]
-
-    kept = first.groupBy("chrom").applyInPandas(greedy, first.schema)
-    return _keep(g, kept)
+    return _keep(g, first if d <= 1 else greedy_sites(first, d, block_bp))
+
+
+def greedy_sites(sites: DataFrame, d: int, block_bp: int = 1_000_000) -> DataFrame:
+    """The greedy choice over distinct ``(chrom, pos, variant_id)`` sites as a scan over blocks of positions.
+
+    A block of ``max(block_bp, d)`` positions is entered at one of the sites in its first ``d`` positions, or at the first one after
+    them: no more than ``d + 1`` ways, whatever happened before. One pass follows each way through its block to the
+    place where it enters a later one; doubling those steps (``log2`` of the number of blocks joins of small
+    tables) gives the ways that start at a chromosome's first site; a last pass keeps each block's sites from the way
+    that enters it. No task holds more than one block's sites.
+    """
+    from ..session import cut_lineage, stored
+
+    size = max(int(block_bp), int(d))
+    group = F.when(F.col("chrom").isNull(), "").otherwise(F.concat(F.lit("c"), F.col("chrom").cast("string")))
+    placed = stored(sites.filter(F.col("pos").isNotNull()).select(group.alias("c"), F.floor(F.col("pos") / size).alias("b"), *VARIANT), "sites")
+    head = F.col("pos") < F.col("b") * size + d
+    ends = placed.groupBy("c", "b").agg(F.min("pos").alias("first"), F.min(F.when(~head, F.col("pos"))).alias("past"))
+    w = Window.partitionBy("c").orderBy("b")  # one row per block
+    ends = ends.withColumns({"nb": F.lead("b").over(w), "nfirst": F.lead("first").over(w), "npast": F.lead("past").over(w), "nnfirst": F.lead("first", 2).over(w)})
+    # where a way goes that finds no site among the next block's first d positions
+    beyond = F.when(F.col("nb") == F.col("b") + 1, F.coalesce("npast", "nnfirst")).otherwise(F.col("nfirst"))
+    ends = cut_lineage(ends.select("c", "b", "first", beyond.alias("beyond")))
+    rows = placed.select("c", "b", "pos", F.lit(True).alias("own"))
+    rows = rows.unionByName(placed.filter(head).select("c", (F.col("b") - 1).alias("b"), "pos", F.lit(False).alias("own")))
+    rows = rows.join(ends.select("c", "b", "beyond"), ["c", "b"])
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, ahead = (np.sort(pdf.loc[pdf["own"] == x, "pos"].to_numpy(np.int64)) for x in (True, False))
+        c, b, far = pdf["c"].iloc[0], int(pdf["b"].iloc[0]), pdf["beyond"].iloc[0]
+        last = np.arange(len(own))  # the last site kept from each on, by one backward pass
+        after = np.searchsorted(own, own + d)
+        for i in range(len(own) - 1, -1, -1):
+            if after[i] < len(own):
+                last[i] = last[after[i]]
+        into = own[: int(np.searchsorted(own, b * size + d)) + 1]
+        need = own[last[: len(into)]] + d
+        at = np.searchsorted(ahead, need)
+        to = [int(ahead[k]) if k < len(ahead) else None if pd.isna(far) else int(far) for k in at]
+        return pd.DataFrame({"c": c, "src": into, "dst": pd.array(to, dtype="Int64")})
+
+    jump = cut_lineage(rows.groupBy("c", "b").applyInPandas(ways, "c string, src long, dst long").filter("dst is not null"))
+    seen = cut_lineage(ends.groupBy("c").agg(F.min("first").alias("src")))
+    while not jump.isEmpty():
+        step = seen.join(jump, ["c", "src"]).select("c", F.col("dst").alias("src"))
+        seen = cut_lineage(seen.unionByName(step).distinct())
+        onward = jump.select("c", F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jump = cut_lineage(jump.join(onward, ["c", "dst"]).select("c", "src", F.col("end").alias("dst")))
+    entered = seen.select("c", F.floor(F.col("src") / size).alias("b"), F.col("src").alias("enter"))
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        pos, at, out = pdf["pos"].to_numpy(np.int64), 0, []
+        at = int(np.searchsorted(pos, int(pdf["enter"].iloc[0])))
+        while at < len(pos):
+            out.append(at)
+            at = int(np.searchsorted(pos, pos[at] + d))
+        return pdf.loc[out, VARIANT]
+
+    return placed.join(entered, ["c", "b"]).groupBy("c", "b").applyInPandas(keep, sites.select(*VARIANT).schema)
 
 
 def impute_dosage(g: DataFrame, how: str = "mean") -> DataFrame:

@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shape import attach  # noqa: F401  (J1 is P13)
 
-# Key tables below this row count are broadcast explicitly; above, a shuffle join.
-KEY_BROADCAST_ROWS = 5_000_000
-
-
-def _maybe_broadcast(df: DataFrame, max_rows: int = KEY_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def keep_samples(geno: DataFrame, keep: DataFrame, keys: Sequence[str] = ("fid", "iid")) -> DataFrame:
-    """Semi join on the sample key list (broadcast after a size check)."""
-    k = keep.select(*keys).distinct()
-    return geno.join(_maybe_broadcast(k), list(keys), "left_semi")
+    """Semi join on the sample key list (Spark broadcasts the list if its measured size is small)."""
+    return geno.join(keep.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def pending(accessions: DataFrame, existing: DataFrame, col: str = "accession") -> DataFrame:
@@ -55,3 +48,10 @@ def expand(df: DataFrame, grid: Sequence[Mapping[str, float]], cell_col: str = "
                for i, g in enumerate(grid)]
     return df.select("*", F.explode(F.array(*structs)).alias("__cell")).select(
         *[F.col(c) for c in df.columns], F.col(f"__cell.{cell_col}"), *[F.col(f"__cell.{n}") for n in names])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL (a NULL group is a group); ``left``'s key columns stay."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"__r_{k}" for k in keys])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
+from .joins import null_safe_join
 from .ranking import running_totals
 
 Z_975 = 1.959964
@@ -125,7 +126,7 @@ def _with_totals(r: DataFrame, b: list[str]) -> DataFrame:
     over all distinct scores in one task)."""
     if b:
         tot = r.groupBy(*b).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-        return r.join(tot, b)
+        return null_safe_join(r, tot, b)
     row = r.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     return r.withColumns({"__P": F.lit(row["P"] or 0).cast("long"), "__N": F.lit(row["N"] or 0).cast("long")})
 
@@ -289,4 +290,4 @@ def confusion_stats(preds: DataFrame, truth: str, pred: str, positive: str, by=(
     tests = keyed.groupBy(*keys).applyInPandas(_tests, schema)
     if not b:
         return rates.withColumn("__g", F.lit(0)).join(tests, "__g").drop("__g")
-    return rates.join(tests, b)
+    return null_safe_join(rates, tests, b)

@@ -24,7 +24,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+                             MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,12 +133,61 @@ class RandomFourier(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(g(self.inputCol))))))
 
 
+# ---------------------------------------------------------------- persistence of models made of arrays and parts
+class _PartsWriter(MLWriter):
+    """Metadata and parameters as JSON, arrays as Parquet, fitted parts by their own writers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark = self.sparkSession
+        parts, arrays, numbers = self.model._state()
+        DefaultParamsWriter.saveMetadata(self.model, path, spark, extraMetadata={"numbers": numbers, "parts": sorted(parts)})
+        for name, part in parts.items():
+            part.write().overwrite().save(f"{path}/parts/{name}")
+        rows = [(n, [float(x) for x in a]) for n, a in arrays.items()]
+        spark.createDataFrame(rows, "name string, value array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/arrays")
+
+
+class _PartsReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        spark = self.sparkSession
+        meta = DefaultParamsReader.loadMetadata(path, spark)
+        parts = {n: DefaultParamsReader.loadParamsInstance(f"{path}/parts/{n}", spark) for n in meta["parts"]}
+        arrays = {r["name"]: np.array(r["value"]) for r in spark.read.parquet(f"{path}/arrays").collect()}  # the model's own weights
+        model = self.cls._from_state(parts, arrays, meta["numbers"])
+        model._resetUid(meta["uid"])
+        return model
+
+
+class _Parts(MLWritable, MLReadable):
+    def write(self) -> MLWriter:
+        return _PartsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _PartsReader(cls)
+
+
 # ---------------------------------------------------------------- two-class kernel SVM
-class KernelSVMModel(Model):
+class KernelSVMModel(Model, _Parts):
     def __init__(self, rff: RandomFourier, svm, platt, features: str):
         super().__init__()
         self.rff, self.svm, self.platt, self.features = rff, svm, platt, features
 
+    def _state(self):
+        return {"rff": self.rff, "svm": self.svm, "platt": self.platt}, {}, {"features": self.features}
+
+    @classmethod
+    def _from_state(cls, parts, arrays, numbers):
+        return cls(parts["rff"], parts["svm"], parts["platt"], numbers["features"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         z = self.rff.transform(df)
         m = self.svm.transform(z).withColumn("margin", vector_to_array("rawPrediction")[1]) \
@@ -183,11 +233,18 @@ class KernelSVM(Estimator):
 
 
 # ---------------------------------------------------------------- one-class nu-SVM
-class OneClassSVMModel(Model):
+class OneClassSVMModel(Model, _Parts):
     def __init__(self, rff: RandomFourier, w: np.ndarray, rho: float, history: list[float]):
         super().__init__()
         self.rff, self.w, self.rho, self.history = rff, w, rho, history
 
+    def _state(self):
+        return {"rff": self.rff}, {"w": self.w, "history": self.history}, {"rho": float(self.rho)}
+
+    @classmethod
+    def _from_state(cls, parts, arrays, numbers):
+        return cls(parts["rff"], arrays["w"], numbers["rho"], arrays["history"].tolist())
+
     def _transform(self, df: DataFrame) -> DataFrame:
         z = self.rff.transform(df)
         wl = F.array(*[F.lit(float(x)) for x in self.w])

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col_
+from .joins import null_safe_join
 
 # Rows of a per-bucket offset table below which it is broadcast.
 OFFSET_BROADCAST_ROWS = 2_000_000
@@ -95,7 +96,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], group
         c = F.size(F.filter(coarse, lambda v: v < x))
         fine = F.slice(sp, c * fan + 1, F.lit(fan))
         bucket = c * fan + F.size(F.filter(fine, lambda v: v < x))
-        d = d.join(bounds, groups, "left").withColumn(tmp_b, bucket.cast("double")).drop("__rt_s")
+        d = null_safe_join(d, bounds, groups, "left").withColumn(tmp_b, bucket.cast("double")).drop("__rt_s")
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         qs = df.approxQuantile(order_col, probs, rel_err) if n_buckets > 1 else []
@@ -130,12 +131,11 @@ def best_per_group(df: DataFrame, keys: Sequence[str], by: str, ascending: bool
     return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in others])
 
 
-def argmax_rows(df: DataFrame, keys: Sequence[str], col: str, max_groups: int = OFFSET_BROADCAST_ROWS) -> DataFrame:
-    """Rows equal to their group's maximum of ``col``, ties kept (W2); the per-group
-    maxima are broadcast after a size check so a hot group never skews a join."""
+def argmax_rows(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Rows equal to their group's maximum of ``col``, ties kept (W2). The maxima join as they are: Spark broadcasts
+    them when their measured size is small and splits a hot group otherwise."""
     mx = df.groupBy(*keys).agg(F.max(col).alias("__mx"))
-    side = F.broadcast(mx) if mx.count() <= max_groups else mx
-    return df.join(side, list(keys)).filter(F.col(col) == F.col("__mx")).drop("__mx")
+    return df.join(mx, list(keys)).filter(F.col(col) == F.col("__mx")).drop("__mx")
 
 
 def select_best(df: DataFrame, metric_col: str, tiebreak: str = "cell_id", ascending: bool = False,

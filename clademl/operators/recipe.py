@@ -155,37 +155,47 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _corr_array(df: DataFrame, cols: list[str]):
-    """Pairwise-complete correlations from sums over the rows where both columns are present.
+    """Pairwise-complete correlations from sums over the rows where both columns are present, in one pass.
 
-    Each task adds up four p x p matrices (counts, sums, squares, products) of values centred
-    on the column means; ``Summarizer`` adds the tasks' rows, one row per column.
+    Each task adds up five p x p matrices (counts, sums of either column, squares, products) of values centred on the means of its
+    own first batch; one row per column and task is shuffled, and a column's rows are moved to one centre and added.
     """
     p = len(cols)
     num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    num = num.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in num.columns])
-    num = num.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: means, then sums
-    row = num.agg(*[F.avg(c).alias(c) for c in num.columns]).first()
-    mu = np.array([0.0 if v is None else float(v) for v in row])
 
     def sums(batches):
-        acc = np.zeros((4, p, p))
+        mu, acc = None, np.zeros((5, p, p))
         for pdf in batches:
             x = pdf.to_numpy(dtype=float)
             there = ~np.isnan(x)
-            m, x = there.astype(float), np.where(there, x - mu, 0.0)
-            acc += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        yield pd.DataFrame({"i": range(p), "v": list(acc.transpose(1, 0, 2).reshape(p, 4 * p))})
-
-    part = num.mapInPandas(sums, "i int, v array<double>")
-    total = part.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
-    num.unpersist()
-    n, s, q, xy = np.zeros((4, p, p))
-    for r in total:
-        n[r["i"]], s[r["i"]], q[r["i"]], xy[r["i"]] = np.array(r["v"]).reshape(4, p)
+            if mu is None and len(x):
+                mu = np.where(there, x, 0.0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+            if mu is not None:
+                m, x = there.astype(float), np.where(there, x - mu, 0.0)
+                s = x.T @ m
+                acc += np.stack([m.T @ m, s, m.T @ x, (x * x).T @ m, x.T @ x])
+        if mu is not None:
+            yield pd.DataFrame({"i": range(p), "mu": [mu] * p, "v": list(acc.transpose(1, 0, 2).reshape(p, 5 * p))})
+
+    def one_centre(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, centre, total = int(key[0]), pdf["mu"].iloc[0], 0.0
+        for mu, v in zip(pdf["mu"], pdf["v"]):
+            n, si, sj, q, xy = np.reshape(v, (5, p))
+            di, dj = mu[i] - centre[i], mu - centre
+            total = total + np.concatenate((n, si + n * di, sj + n * dj, q + 2 * di * si + n * di * di, xy + di * sj + dj * si + n * di * dj))
+        return pd.DataFrame([{"i": i, "mu": float(centre[i]), "v": total}])
+
+    parts = num.mapInPandas(sums, "i int, mu array<double>, v array<double>")
+    found = parts.repartition("i").sortWithinPartitions("i", "mu").groupBy("i").applyInPandas(one_centre, "i int, mu double, v array<double>").collect()
+    n, si, sj, q, xy = np.zeros((5, p, p))
+    mu = np.zeros(p)
+    for r in found:
+        mu[r["i"]] = r["mu"]
+        n[r["i"]], si[r["i"]], sj[r["i"]], q[r["i"]], xy[r["i"]] = np.array(r["v"]).reshape(5, p)
     with np.errstate(divide="ignore", invalid="ignore"):
-        var = q - s * s / n
+        var = q - si * si / n
         flat = ~(var > 1e-12 * q) | ~(var > 1e-24 * n * (mu * mu)[:, None])  # constant on the pair's rows
-        r = (xy - s * s.T / n) / np.sqrt(var * var.T)
+        r = (xy - si * sj / n) / np.sqrt(var * var.T)
     r[flat | flat.T | (n < 2)] = math.nan
     return np.clip(r, -1.0, 1.0).tolist()
 
