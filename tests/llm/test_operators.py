@@ -98,7 +98,7 @@ def test_decontamination_matches_sql_and_brute_force(spark, docs, empty):
 
 
 def test_near_duplicates_odd_rows_and_hot_group(spark, docs, empty, monkeypatch):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, percent=85).collect()}
     assert {(1, 66, 1, True), (2, 66, 1, False), (3, 67, 1, False), (4, 0, 4, True), (5, 0, 5, True), (7, 1, 7, True), (None, 66, None, True)} <= got
     assert minhash.near_duplicates(empty).count() == 0
     rng, base = random.Random(5), [f"w{i}" for i in range(80)]
@@ -117,7 +117,7 @@ def test_near_duplicates_odd_rows_and_hot_group(spark, docs, empty, monkeypatch)
                 x, y = sorted((comp[a], comp[b]))
                 comp = [x if c == y else c for c in comp]
     want = {i: min(j for j in range(120) if comp[j] == comp[i]) for i in range(120)}
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(many, block_docs=16).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(many, percent=85, block_docs=16).collect()} == want
 
 
 def test_repeated_passages_hot_groups(spark, docs, empty):
