@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
@@ -15,7 +18,11 @@ from ..operators import resample as R
 from ..operators import shape as P
 from ..operators import strains as C
 from ..operators import tuning as T
+from ..operators import nominal as NI
+from ..operators.discovery import RUN_FILES, combine_runs
 from ..operators.joins import expand
+from ..session import checkpoint_dir
+from ..sources.runs import write_run
 from . import fixtures as fx
 from .fixtures import FX1_SQL, FX3_SQL, FX4_SQL, FX6_SQL, with_ctes
 from .q_relational import FX3P_SQL, scored
@@ -164,7 +171,25 @@ def e5(spark, sf):
     return m.transform(d).select("row_id", "taxon", "habitat")
 
 
-_E7_COLS = ["f01", "f02"]
+_IND_COLS = ("taxon", "habitat")
+
+
+@query("e5_nominal_indicators", with_ctes(
+    FX1_SQL, *[f"lv_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY md5(concat_ws('|', 'level', '{c}', {c}))) + 1 AS ix FROM "
+               f"(SELECT DISTINCT {c} FROM fx1 WHERE label = 'Probiotic' AND {c} IS NOT NULL))" for c in _IND_COLS])
+    + "SELECT row_id, CASE WHEN taxon IS NULL THEN 1 ELSE coalesce(t.ix, 0) END AS taxon_at, (SELECT count(*) FROM lv_taxon) + 2 + "
+      "CASE WHEN habitat IS NULL THEN 1 ELSE coalesce(h.ix, 0) END AS habitat_at, (SELECT count(*) FROM lv_taxon) + (SELECT count(*) FROM lv_habitat) + 5 AS size, "
+      "round(f01, 6) AS last FROM fx1 LEFT JOIN lv_taxon t ON t.v = taxon LEFT JOIN lv_habitat h ON h.v = habitat")
+def e5i(spark, sf):
+    """Nominal predictors in the model matrix: where each row's two indicators are, the vector's size, and the numeric feature at its end."""
+    d = fx.fx1(spark, sf).select("row_id", "label", "taxon", "habitat", "f01")
+    m = NI.NominalIndicators(inputCols=list(_IND_COLS), outputCol="__ind").fit(Q.keep_class(d, "label", fx.POS))
+    at = lambda k: F.get(F.filter(F.sequence(F.lit(0), F.size("a") - 2), lambda i: F.get("a", i) == 1.0), F.lit(k)).cast("long")
+    return r6(NI.assemble(m.transform(d), ["__ind", "f01"], "x").select("row_id", vector_to_array("x").alias("a")).select(
+        "row_id", at(0).alias("taxon_at"), at(1).alias("habitat_at"), F.size("a").cast("long").alias("size"), F.element_at("a", -1).alias("last")))
+
+
+_E7_COLS = list(fx.FEATURES)
 
 
 @query("e7_fold_stats", with_ctes(FX1_SQL, "f AS (" + _vfold_sql("fx1", 5, 2, "label") + ")",
@@ -531,11 +556,30 @@ def d3(spark, sf):
        "count_if(label = 'Probiotic' AND pred_class <> 'Probiotic') AS FN, count_if(label <> pred_class) AS n_errors, "
        "count_if(pred_class = 'Probiotic') AS n_discovered FROM fx3p GROUP BY run_ts")
 def d4(spark, sf):
-    s = scored(spark, sf)
-    conf = A.confusion_by(s, ["run_ts"], "label", "pred_class", fx.POS)
-    extra = s.groupBy("run_ts").agg(F.count_if(F.col("label") != F.col("pred_class")).alias("n_errors"),
-                                    F.count_if(F.col("pred_class") == fx.POS).alias("n_discovered"))
-    return conf.join(extra, "run_ts")
+    """Every run of the scored rows is written as a run folder, and the committed folders are combined."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = scored(spark, sf).select("run_ts", "row_id", "method", "label", "pred_class", "p_probiotic").persist()
+    root = f"{checkpoint_dir(spark).rstrip('/')}/clademl-runs-{uuid.uuid4().hex}"
+    per = V.counts(s, "label", "pred_class", fx.POS, ["run_ts", "method"])
+    best = V.mcc(s, "label", "pred_class", fx.POS, by=["run_ts", "method"]).select("run_ts", "method", F.lit("mcc").alias("metric"), F.col("mcc").alias("mean"))
+    best = best.unionByName(V.accuracy(s, "label", "pred_class", by=["run_ts", "method"]).select(
+        "run_ts", "method", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("mean")))
+
+    def one(run_ts: int) -> None:
+        own = s.filter(F.col("run_ts") == run_ts).drop("run_ts")
+        kinds = {"best": best.filter(F.col("run_ts") == run_ts).drop("run_ts"), "metrics": per.filter(F.col("run_ts") == run_ts).drop("run_ts"),
+                 "predictions": own, "errors": own.filter("label <> pred_class"), "discoveries": own.filter(F.col("pred_class") == fx.POS)}
+        write_run(root, run_ts, {RUN_FILES[k]: t for k, t in kinds.items()}, {"threshold": 0.5, "files": 5})
+
+    runs = [r["run_ts"] for r in s.select("run_ts").distinct().collect()]  # one id per run
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, runs))
+    s.unpersist()
+    got = combine_runs(spark, root, fx.POS, committed=True)
+    count = lambda t, name: t.groupBy("run_ts").agg(F.count(F.lit(1)).alias(name))
+    out = got["confusion"].join(count(got["errors"], "n_errors"), "run_ts", "left").join(count(got["discoveries"], "n_discovered"), "run_ts", "left")
+    return out.fillna(0, ["n_errors", "n_discovered"])
 
 
 @query("d5_combine_problems", with_ctes(FX3P_SQL, "c AS (SELECT CASE WHEN method IN ('RLR', 'RF') THEN 'twoclass' ELSE 'oneclass' END AS problem, run_ts, "
