@@ -149,7 +149,7 @@ def e3(spark, sf):
     return _names(spark, m.getDropCols())
 
 
-_NORM_COLS = ["f01", "f02", "f03"]
+_NORM_COLS = [c for c in fx.FEATURES if c != "f66"]  # a constant column cannot be scaled
 
 
 @query("e4_normalize", with_ctes(FX1_SQL, _SPLIT_SQL, "tr AS (SELECT fx1.* FROM fx1 JOIN split USING (row_id) WHERE set = 'train')",

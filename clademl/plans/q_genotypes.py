@@ -44,8 +44,7 @@ def n4c(spark, sf):
 
 @query("n5_maf_filter", with_ctes(FX5_SQL, _ST_SQL) + "SELECT variant_id, round(maf, 6) AS maf FROM st WHERE maf >= 0.01")
 def n5(spark, sf):
-    st = N.variant_stats(fx.fx5(spark, sf))
-    return r6(st.filter(F.col("maf") >= N.MAF_MIN).select("variant_id", "maf"))
+    return r6(N.variant_stats(N.maf_filter(fx.fx5(spark, sf))).select("variant_id", "maf"))
 
 
 def _hwe_sql(stats: str) -> list[str]:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import order_key
 from ..operators import blocks as BL
+from ..operators import elimination as EL
 from ..operators import genotypes as N
 from ..operators import grids as G
 from ..operators import lasso_path as LP
 from ..operators import linear_tuning as LT
 from ..operators import metrics as V
 from ..operators import models as M
+from ..operators import networks as NN
 from ..operators import quality as Q
 from ..operators import recipe as E
 from ..operators import resample as R
@@ -91,6 +93,12 @@ def m9(spark, sf):
     return _fit_score(spark, sf, lambda p: M.net(p, size=5, max_iter=50))
 
 
+@query("m9_decay_net_predictions")
+def m9d(spark, sf):
+    """One hidden layer with the weight decay that the reference tunes."""
+    return _fit_score(spark, sf, lambda p: NN.DecayNet(size=5, decay=0.1, max_iter=60))
+
+
 @query("m10_flagship_metrics")
 def m10(spark, sf):
     return wf.flagship_metrics(spark, sf)
@@ -185,11 +193,10 @@ def t6(spark, sf):
 
 @query("t12_rfe_profile")
 def t12(spark, sf):
+    """Every size from 1 to all features, nested by the permutation importance of a forest in each resample."""
     train, _ = wf.flagship_split(spark, sf)
-    feats = [c for c in fx.FEATURES if c not in ("f66",)]
     folds = R.vfold(train, v=3, repeats=1, seed=7, strata="label")
-    profile, final = T.rfe(train, folds, feats, [2, 4, 8], lambda: M.forest(trees=20, seed=1, min_n=2),
-                           lambda: M.forest(trees=20, seed=1, min_n=2), LEVELS, NEG, POS)
+    profile, final = EL.eliminate(train, folds, fx.FEATURES, lambda: M.forest(trees=20, seed=1, min_n=2), LEVELS, NEG, POS)
     return profile.withColumn("final_features", F.lit(",".join(final)))
 
 

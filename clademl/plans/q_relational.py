@@ -226,13 +226,11 @@ def f9(spark, sf):
 @query("f10_audit", with_ctes(FX1_SQL) + "SELECT 'read' AS step, count(*) AS rows FROM fx1 UNION ALL "
        "SELECT 'complete_cases', count(*) FROM fx1 WHERE habitat IS NOT NULL AND f65 IS NOT NULL")
 def f10(spark, sf):
-    d = fx.fx1(spark, sf)
-    steps = {"read": d, "complete_cases": Q.complete_cases(d)}
-    out = None
-    for name, df in steps.items():
-        c = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("step"), "rows")
-        out = c if out is None else out.unionByName(c)
-    return out
+    """Both counts come from the observations that :func:`audit` attaches, filled by one action."""
+    d, read = Q.audit(fx.fx1(spark, sf), "read")
+    kept, complete = Q.audit(Q.complete_cases(d), "complete_cases")
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("read", read.get["rows"]), ("complete_cases", complete.get["rows"])], "step string, rows long")
 
 
 @query("f11_errors", with_ctes(FX3P_SQL) + "SELECT row_id, label, pred_class FROM fx3p WHERE label <> pred_class")
