@@ -169,20 +169,21 @@ def mse(preds: DataFrame, truth: str, pred: str, by=()) -> DataFrame:
 
 def metric_set(preds: DataFrame, truth: str, pred: str, score: str, event: str, positive: str,
                by=()) -> DataFrame:
-    """Long metric table ``(by..., metric, estimator, estimate)`` for accuracy, roc_auc, mcc, kappa, brier."""
+    """Long metric table ``(by..., metric, estimator, estimate)`` for accuracy, roc_auc, mcc, kappa, brier.
+
+    All but the AUC come from one aggregate, so the predictions are read twice."""
     b = _by(by)
-    c = counts(preds, truth, pred, positive, by)
-    acc = c.select(*b, F.lit("accuracy").alias("metric"),
-                   safe_div(F.col("TP") + F.col("TN"), F.col("TP") + F.col("TN") + F.col("FP") + F.col("FN"))
-                   .alias("estimate"))
-    m = c.select(*b, F.lit("mcc").alias("metric"), _mcc_expr().alias("estimate"))
-    k = c.select(*b, F.lit("kap").alias("metric"), _kappa_expr().alias("estimate"))
+    t, p = F.col(truth) == positive, F.col(pred) == positive
+    off = F.col(score) - (F.col(truth) == event).cast("double")
+    c = preds.groupBy(*b).agg(F.count_if(t & p).alias("TP"), F.count_if(~t & ~p).alias("TN"), F.count_if(~t & p).alias("FP"),
+                              F.count_if(t & ~p).alias("FN"), F.avg(F.pow(off, 2)).alias("__brier"))
+    right = F.col("TP") + F.col("TN")
+    found = {"accuracy": safe_div(right, right + F.col("FP") + F.col("FN")), "mcc": _mcc_expr(), "kap": _kappa_expr(), "brier_class": F.col("__brier")}
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("estimate")) for k, v in found.items()])
+    out = c.select(*b, F.explode(rows).alias("__m")).select(*b, "__m.metric", "__m.estimate")
     auc = roc_auc(preds, truth, score, event, by).select(*b, F.lit("roc_auc").alias("metric"),
                                                          F.col("roc_auc").alias("estimate"))
-    br = brier(preds, truth, score, event, by).select(*b, F.lit("brier_class").alias("metric"),
-                                                      F.col("brier").alias("estimate"))
-    out = acc.unionByName(m).unionByName(k).unionByName(auc).unionByName(br)
-    return out.withColumn("estimator", F.lit("binary"))
+    return out.unionByName(auc).withColumn("estimator", F.lit("binary"))
 
 
 # ---------------------------------------------------------------- V8
