@@ -228,8 +228,8 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 1024, s
     ``g_ij = sum_k z_ik z_jk / m_ij`` with ``m_ij`` the variants observed in both.
 
     A blocked Gram product ``Z^T Z`` / ``O^T O`` in DataFrame operators: calls become
-    dense (variant block x sample block) matrices (``applyInPandas`` per block), and each
-    block goes to the block pairs it takes part in, so a variant block's pairs spread over
+    dense (variant block x sample block) matrices of one byte a call (``applyInPandas`` per block;
+    standardised only where they are multiplied), and each block goes to the block pairs it takes part in, so a variant block's pairs spread over
     tasks. A task reads its pairs in order and keeps the sum of one pair at a time;
     ``Summarizer.sum`` adds the partial sums of a pair. Rows never pair with rows.
     """
@@ -243,36 +243,42 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 1024, s
     n_samples = si.count()  # both are stored index tables
     BV, BS = max(1, min(int(variant_block), vi.count())), max(1, min(int(sample_block), n_samples))
     n_blocks = -(-n_samples // BS)
-    zexpr = (F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))
     z = _by_variant(obs, vi, "inner").join(si, SAMPLE).select(
         F.floor(F.col("vi") / BV).alias("vb"), F.floor(F.col("si") / BS).alias("sb"),
-        (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), zexpr.alias("z"))
+        (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), F.col("dosage").cast("int").alias("dosage"), "p")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        zm = np.zeros((BV, BS))
-        om = np.zeros((BV, BS), dtype=np.uint8)
-        zm[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["z"].to_numpy()
-        om[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = 1
-        return pd.DataFrame({"vb": [key[0]], "sb": [key[1]], "zm": [zm.tobytes()], "om": [om.tobytes()]})
+        dm, freq = np.full((BV, BS), -1, dtype=np.int8), np.zeros(BV)  # a byte a call, -1: not observed
+        dm[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["dosage"].to_numpy()
+        freq[pdf["r"].to_numpy()] = pdf["p"].to_numpy()
+        return pd.DataFrame({"vb": [key[0]], "sb": [key[1]], "dm": [dm.tobytes()], "fm": [freq.tobytes()]})
 
-    blocks = z.groupBy("vb", "sb").applyInPandas(build, "vb long, sb long, zm binary, om binary")
+    blocks = z.groupBy("vb", "sb").applyInPandas(build, "vb long, sb long, dm binary, fm binary")
     a = blocks.select("vb", F.col("sb").alias("bi"), F.explode(F.sequence("sb", F.lit(n_blocks - 1).cast("long"))).alias("bj"),
-                      F.col("zm").alias("za"), F.col("om").alias("oa"))
+                      F.col("dm").alias("da"), F.col("fm").alias("fa"))
     b = blocks.select("vb", F.explode(F.sequence(F.lit(0).cast("long"), "sb")).alias("bi"), F.col("sb").alias("bj"),
-                      F.col("zm").alias("zb"), F.col("om").alias("ob"))
+                      F.col("dm").alias("db"), F.col("fm").alias("fb"))
     pairs = a.join(b, ["vb", "bi", "bj"]).sortWithinPartitions("bi", "bj")
 
+    def standardised(dosages: bytes, freqs: bytes) -> tuple[np.ndarray, np.ndarray]:
+        dm, freq = np.frombuffer(dosages, dtype=np.int8).reshape(BV, BS), np.frombuffer(freqs)
+        there, sd = dm >= 0, np.sqrt(2 * freq * (1 - freq))
+        z = (dm - 2 * freq[:, None]) / np.where(sd > 0, sd, 1)[:, None]
+        z[~there] = 0.0
+        return z, there.astype(np.float32)  # counts up to BV are exact in single precision
+
     def multiply(it):
         at, gm, mm = None, None, None
         for pdf in it:
-            for bi, bj, za, zb, oa, ob in zip(pdf["bi"], pdf["bj"], pdf["za"], pdf["zb"], pdf["oa"], pdf["ob"]):
+            for bi, bj, da, fa, db, fb in zip(pdf["bi"], pdf["bj"], pdf["da"], pdf["fa"], pdf["db"], pdf["fb"]):
                 if at != (bi, bj):
                     if at is not None:
                         yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
                     at, gm, mm = (bi, bj), np.zeros((BS, BS)), np.zeros((BS, BS))
-                gm += np.frombuffer(za).reshape(BV, BS).T @ np.frombuffer(zb).reshape(BV, BS)
-                here = [np.frombuffer(o, dtype=np.uint8).reshape(BV, BS).astype(np.float32) for o in (oa, ob)]
-                mm += here[0].T @ here[1]  # counts up to BV are exact in single precision
+                za, oa = standardised(da, fa)
+                zb, ob = (za, oa) if bi == bj else standardised(db, fb)
+                gm += za.T @ zb
+                mm += oa.T @ ob
         if at is not None:
             yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
 
