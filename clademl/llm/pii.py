@@ -149,7 +149,7 @@ class Lattice:
                     spans.append((i, j + 1))
                     feats.append(features[text[s - 1 : s] if s else "", text[s:e], text[e : e + 1]])
         self.spans = np.array(spans, np.int64).reshape(-1, 2)
-        self.feats = np.array(feats, np.int64).reshape(len(spans), -1)
+        self.feats = np.array(feats, np.int64).reshape(len(spans), -1 if spans else 0)
         order = np.argsort(self.spans[:, 1], kind="stable")
         self.spans, self.feats = self.spans[order], self.feats[order]
         self.at_end = np.searchsorted(self.spans[:, 1], np.arange(self.n + 2))
@@ -274,9 +274,12 @@ def find_spans(text: str | None, w: np.ndarray | None, features: SpanFeatures) -
         last = 0
         for s, e in regions(text):
             for at in range(s, max(s + 1, e - OVERLAP), WINDOW - OVERLAP):
+                # of an overlap, the first window gives the spans that start in its first half
+                low = at + OVERLAP // 2 if at > s else s
+                high = at + WINDOW - OVERLAP // 2 if at + WINDOW < e else e
                 for kind, a, b in Lattice(text, at, min(e, at + WINDOW), features).best(w):
                     k = bisect_left(starts, b)  # base spans that start before its end
-                    if a >= last and (not k or ends[k - 1] <= a):
+                    if low <= a < high and a >= last and (not k or ends[k - 1] <= a):
                         added.append((KINDS[kind], a, b))
                         last = b
     return base, added

@@ -60,7 +60,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.new_cache_path(spark))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.cache_path(spark))
 
 
 @_query("op9_secret_scan_trigrams")

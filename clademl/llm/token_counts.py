@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clademl.llm.encoders import PieceModel
 from clademl.llm.common import shared_path
+from clademl.session import checkpoint_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -74,5 +75,10 @@ def count_tokens(docs: DataFrame, cache_path: str, model: str | None = None, lim
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
 
 
+def cache_path(spark: SparkSession, model: str | None = None) -> str:
+    """The tokenizer's cache in the shared folder: the same for every run, so that later runs find its counts."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/clademl-token-cache-{tokenizer_digest(model or default_model())[:32]}"
+
+
 def new_cache_path(spark: SparkSession) -> str:
     return shared_path(spark, "token-cache")

@@ -86,6 +86,22 @@ def test_token_counts_use_the_cache(spark, docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_equal_sentencepiece(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    want = sorted((i or -1, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096) for i, t in ROWS)
+    for _ in range(2):  # encoded, then from the cache
+        got = token_counts.count_tokens(docs, token_counts.cache_path(spark)).collect()
+        assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
+    from clademl.llm.common import table
+    from clademl.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op8_token_counts"](spark, SF).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in texts.items()}
+
+
 def test_decontamination_matches_sql_and_brute_force(spark, docs, empty):
     bench = spark.createDataFrame([(1, "x " + LINE[:200]), (1, "one TWO"), (2, None), (None, "ha ha"), (3, "")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in decontaminate.contamination(docs, bench, shard_words=50).collect()}
@@ -146,6 +162,18 @@ def test_crf_prefers_its_training_spans():
     assert ("phone", t.index("+"), t.index(" zz")) in [(pii.KINDS[k], a, b) for k, a, b in pii.Lattice(t, 0, len(t), pii.SpanFeatures()).best(w)]
 
 
+def test_crf_spans_at_the_edges_of_windows(monkeypatch):
+    rng = random.Random(2)
+    w = pii.train([f"ab {w} cd +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} ef {rng.randrange(9)}" for w in "xyzuvw" for _ in range(12)], epochs=8)
+    monkeypatch.setattr(pii, "base_spans", lambda t: [])
+    monkeypatch.setattr(pii, "regions", lambda t: [(0, len(t))])
+    filler = "gh q " * 1400
+    for at in [*range(1980, 2020, 5), *range(2180, 2220, 5), *range(2370, 2410, 5), *range(4380, 4410, 5)]:
+        t = filler[:at].rstrip() + " +1 (345) 555-1234 zz " + filler[at:]
+        s = t.index("+")
+        assert ("phone", s, t.index(" zz")) in pii.find_spans(t, w, pii.SpanFeatures())[1], at
+
+
 def test_secrets_equal_python_regexes(docs, empty):
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
     for i, t in ROWS:

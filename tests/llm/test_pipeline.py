@@ -232,3 +232,18 @@ def test_operators_refuse_kept_columns_with_their_names(spark, docs):
         decontaminate.contamination(own, table(spark, SF, "benchmark"), keep=("spans",))
     with pytest.raises(ValueError, match="base"):
         pii.personal_data(own, keep=("base",))
+
+
+def test_near_duplicate_stage_drops_repeated_and_null_id_rows(spark):
+    import corpus_pipeline as c
+
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    rows = [(1, text, 5), (1, text, 5), (None, text, 5), (None, text + " tail", 6), (2, other, 7), (2, other, 7), (None, "only here and seen twice", 8),
+            (None, "only here and seen twice", 8), (3, None, 0), (4, "", 0), (None, None, 0), (2, "another text under the id of two", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = c.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or -1, r[1] or "", r[2])
+    want = [rows[0], rows[4], rows[6], rows[8], rows[9], rows[10], rows[11]]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert c.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
