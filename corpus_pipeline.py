@@ -45,11 +45,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies (similarity of 0.80 or more) the smallest ``doc_id`` stays."""
+    """Operator 6: of each group of near copies (similarity of 0.80 or more) the smallest ``doc_id`` stays.
+
+    Rows without a ``doc_id`` take part under a number of their own above all ids, so one stays only
+    where no copy has an id. Of rows that repeat both ``doc_id`` and text one stays; different texts under
+    one ``doc_id`` stay as long as one of them does. Texts without words (null, empty) are no copies of
+    each other. An empty table stays empty.
+    """
     small_batches(spark)
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id"), "dropped")
-    return docs.join(bounded_broadcast(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    carried = _carried(docs)
+    rows = stored(carried.withColumn("_document_row", F.monotonically_increasing_id()), "numbered")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.col("_document_row"))
+    rows = rows.withColumn("_document_key", key)
+    found = minhash.near_duplicates(rows, percent=80, id_col="_document_key")
+    gone = stored(found.groupBy(F.col("doc_id").alias("_document_key")).agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("_document_key"), "dropped")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    again = (rows.groupBy("_document_key", digest.alias("digest")).agg(F.min("_document_row").alias("first"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").select(F.col("_document_key").alias("key"), "digest", "first"))
+    kept = rows.join(bounded_broadcast(gone, gone.count(), 16), "_document_key", "left_anti")
+    kept = kept.join(again, (F.col("_document_key") == F.col("key")) & (digest == F.col("digest")) & (F.col("_document_row") > F.col("first")), "left_anti")
+    return _restored(kept, carried, docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
