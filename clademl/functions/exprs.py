@@ -49,6 +49,12 @@ def tidy_round(c: str | Column, dp: int = 2, tol: float = 1.49e-8) -> Column:
     return F.when(F.abs(c - F.round(c, 0)) < F.lit(tol), c).otherwise(F.round(c, dp))
 
 
+def round_text(c: str | Column, dp: int = 3) -> Column:
+    """A number as text with exactly ``dp`` places, ties away from zero (P16); NULL stays NULL."""
+    c = col_(c).cast("double")
+    return F.when(c.isNotNull(), F.format_string(f"%.{int(dp)}f", c))
+
+
 def argmax_class(prob_cols: Mapping[str, str | Column]) -> Column:
     """Name of the class with the largest probability; ties -> first listed level."""
     items = list(prob_cols.items())

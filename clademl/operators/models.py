@@ -199,34 +199,41 @@ class KernelSVMModel(Model, _Parts):
 
 class KernelSVM(Estimator):
     """M7: RBF SVM ~ linear SVM on random Fourier features, with Platt-scaled
-    probabilities fitted on out-of-fold margins (3 hashed folds)."""
+    probabilities fitted on out-of-fold margins (3 hashed folds). ``weight_col``: how often a row counts."""
 
     def __init__(self, cost: float = 1.0, sigma: float = 0.1, n_components: int = 256, seed: int = 42,
-                 features: str = "features", label: str = LABEL_INDEX, n_input: int | None = None, max_iter: int = 100):
+                 features: str = "features", label: str = LABEL_INDEX, n_input: int | None = None, max_iter: int = 100,
+                 weight_col: str | None = None):
         super().__init__()
         self.cost, self.sigma, self.D, self.seed = cost, sigma, n_components, seed
         self.features, self.label, self.n_input, self.max_iter = features, label, n_input, max_iter
+        self.weight_col = weight_col
+
+    def setWeightCol(self, name: str) -> KernelSVM:
+        self.weight_col = name
+        return self
 
     def _fit(self, df: DataFrame) -> KernelSVMModel:
         p = self.n_input or len(df.select(self.features).first()[0])
         rff = RandomFourier(inputCol=self.features, outputCol="__rff", nComponents=self.D, sigma=self.sigma,
                             seed=self.seed, nInput=p)
-        z = rff.transform(df).select(self.label, "__rff", F.pmod(F.xxhash64(vector_to_array(F.col(self.features))), F.lit(3)).alias("__f"))
+        weight = F.col(self.weight_col).cast("double") if self.weight_col else F.lit(1.0)
+        z = rff.transform(df).select(self.label, "__rff", weight.alias("__w"), F.pmod(F.xxhash64(vector_to_array(F.col(self.features))), F.lit(3)).alias("__f"))
         z = z.persist(StorageLevel.MEMORY_AND_DISK)
-        n = z.count()
+        n = z.agg(F.sum("__w")).first()[0] or 0.0
         reg = 1.0 / (self.cost * max(n, 1))
 
         def svc():
             # the Fourier features approximate the kernel as they are: rescaling them would change it
-            return LinearSVC(featuresCol="__rff", labelCol=self.label, regParam=reg, maxIter=self.max_iter, standardization=False)
+            return LinearSVC(featuresCol="__rff", labelCol=self.label, regParam=reg, maxIter=self.max_iter, standardization=False, weightCol="__w")
 
         oof = None
         for f in range(3):
             m = svc().fit(z.filter(F.col("__f") != f))
             part = m.transform(z.filter(F.col("__f") == f)).select(
-                self.label, array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("__mv"))
+                self.label, "__w", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("__mv"))
             oof = part if oof is None else oof.unionByName(part)
-        platt = LogisticRegression(featuresCol="__mv", labelCol=self.label, regParam=0.0).fit(oof)
+        platt = LogisticRegression(featuresCol="__mv", labelCol=self.label, regParam=0.0, weightCol="__w").fit(oof)
         svm = svc().fit(z)
         z.unpersist()
         return KernelSVMModel(rff, svm, platt, self.features)

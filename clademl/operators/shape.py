@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import argmax_class as _argmax_expr
-from ..functions.exprs import case_map, threshold_class as _threshold_expr, tidy_round as _tidy_round_expr
+from ..functions.exprs import case_map, round_text as _round_text_expr, threshold_class as _threshold_expr, tidy_round as _tidy_round_expr
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -93,6 +93,11 @@ def tidy_round(df: DataFrame, cols: Sequence[str], dp: int = 2) -> DataFrame:
     return df.withColumns({c: _tidy_round_expr(c, dp) for c in cols})
 
 
+def round_text(df: DataFrame, cols: Sequence[str], dp: int = 3) -> DataFrame:
+    """Numbers as text with ``dp`` places, trailing zeros kept."""
+    return df.withColumns({c: _round_text_expr(c, dp) for c in cols})
+
+
 # ---------------------------------------------------------------- set operations
 def union_loose(*dfs: DataFrame) -> DataFrame:
     """``bind_rows`` -- by name, missing columns -> NULL."""

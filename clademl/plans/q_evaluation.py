@@ -17,6 +17,7 @@ from ..operators import recipe as E
 from ..operators import resample as R
 from ..operators import shape as P
 from ..operators import strains as C
+from ..operators import study as ST
 from ..operators import tuning as T
 from ..operators import nominal as NI
 from ..operators.discovery import RUN_FILES, combine_runs
@@ -162,6 +163,29 @@ def e4(spark, sf):
     return r6(m.transform(sp.filter(F.col("set") == "test")).select("row_id", *_NORM_COLS))
 
 
+_E6_TR = "tr AS (SELECT fx1.* FROM fx1 JOIN split USING (row_id) WHERE set = 'train')"
+_E6_ALL = f"UNPIVOT (x FOR variable IN ({FEATS_SQL}))"
+
+
+@query("e6_recipe_values", with_ctes(
+    FX1_SQL, _SPLIT_SQL, _E6_TR, f"st AS (SELECT variable, avg(x) AS mu, stddev_samp(x) AS sd FROM (SELECT {FEATS_SQL} FROM tr) {_E6_ALL} GROUP BY variable HAVING min(x) < max(x))",
+    f"l AS (SELECT * FROM (SELECT row_id, {FEATS_SQL} FROM tr) {_E6_ALL} WHERE variable IN (SELECT variable FROM st))",
+    "ix AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(FEATS)) + ") v(variable, k))",
+    "r AS (SELECT a.variable AS vi, b.variable AS vj, abs(corr(a.x, b.x)) AS r FROM l a JOIN l b ON a.row_id = b.row_id GROUP BY ALL)",
+    "m AS (SELECT vi AS variable, round(avg(coalesce(r, 0)), 9) AS m FROM r GROUP BY vi)",
+    "p AS (SELECT r.vi, r.vj FROM r JOIN ix ia ON r.vi = ia.variable JOIN ix ib ON r.vj = ib.variable WHERE ia.k < ib.k AND r.r > 0.9)",
+    "gone AS (SELECT DISTINCT CASE WHEN mj.m > mi.m THEN p.vj ELSE p.vi END AS variable FROM p JOIN m mi ON p.vi = mi.variable JOIN m mj ON p.vj = mj.variable)")
+    + f"SELECT row_id, variable, round((x - mu) / sd, 6) AS value FROM (SELECT row_id, {FEATS_SQL} FROM fx1 JOIN split USING (row_id) WHERE set = 'test') {_E6_ALL} "
+      "JOIN st USING (variable) WHERE variable NOT IN (SELECT variable FROM gone)")
+def e6v(spark, sf):
+    """The whole recipe, fitted on the training rows: every entry of the test rows' feature vectors with its name."""
+    sp = _split(spark, sf)
+    model = E.recipe(FEATS).fit(sp.filter(F.col("set") == "train"))
+    names = F.array(*[F.lit(c) for c in E.kept_features(model, FEATS)])
+    d = model.transform(sp.filter(F.col("set") == "test")).select("row_id", F.posexplode(vector_to_array("features")).alias("i", "value"))
+    return r6(d.select("row_id", F.element_at(names, F.col("i") + 1).alias("variable"), "value"))
+
+
 @query("e5_nominal_levels", with_ctes(FX1_SQL) + "SELECT row_id, " + ", ".join(
     f"CASE WHEN {c} IS NULL THEN 'unknown' WHEN {c} IN (SELECT {c} FROM fx1 WHERE label = 'Probiotic' AND {c} IS NOT NULL) "
     f"THEN {c} ELSE 'new' END AS {c}" for c in ("taxon", "habitat")) + " FROM fx1")
@@ -483,17 +507,30 @@ def a9(spark, sf):
 
 
 @query("t9_best_models", with_ctes(FX3P_SQL, _RS_SQL, "me AS (SELECT REPLICA, " + ", ".join(f'avg("{c}") AS "{c}"' for c in _ACC_COLS)
-                                  + " FROM rt GROUP BY REPLICA)", "lg AS (SELECT * FROM me UNPIVOT (ACC FOR metodo IN ("
+                                  + " FROM rt GROUP BY REPLICA)", "lg AS (SELECT * FROM me UNPIVOT (ACC FOR pair IN ("
                                   + ", ".join(f'"{c}"' for c in _ACC_COLS) + ")))")
-       + "SELECT split_part(metodo, '~', 1) AS method, split_part(metodo, '~', 2) AS param, REPLICA, round(ACC, 6) AS ACC FROM "
-         "(SELECT *, row_number() OVER (PARTITION BY metodo ORDER BY ACC DESC, REPLICA) AS rn FROM lg) WHERE rn = 1")
+       + "SELECT split_part(pair, '~', 1) AS method, split_part(pair, '~', 2) AS param, REPLICA, round(ACC, 6) AS ACC FROM "
+         "(SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ACC DESC, REPLICA) AS rn FROM lg) WHERE rn = 1")
 def t9(spark, sf):
-    long = A.melt(_a9(spark, sf), ["REPLICA"], _ACC_COLS, "metodo", "ACC")
-    best = W.best_per_group(long, ["metodo"], "ACC", tiebreak=["REPLICA"])
-    parts = F.split(F.col("metodo"), "~")
+    long = A.melt(_a9(spark, sf), ["REPLICA"], _ACC_COLS, "pair", "ACC")
+    best = W.best_per_group(long, ["pair"], "ACC", tiebreak=["REPLICA"])
+    parts = F.split(F.col("pair"), "~")
     return r6(best.select(parts[0].alias("method"), parts[1].alias("param"), "REPLICA", "ACC"))
 
 
+_T9C_SQL = ("tm AS (SELECT 'M' || CAST(cell_id % 4 AS VARCHAR) AS method, rep AS repeat, cell_id, round(avg(mcc), 10) AS mean FROM fx4 GROUP BY ALL), "
+            "tb AS (SELECT *, row_number() OVER (PARTITION BY method, repeat ORDER BY mean DESC, cell_id) AS rn FROM tm)")
+
+
+@query("t9_final_choice", with_ctes(FX4_SQL, _T9C_SQL) + "SELECT method, repeat, cell_id, round(mean, 8) AS mean FROM (SELECT *, row_number() OVER "
+       "(PARTITION BY method ORDER BY mean DESC, repeat) AS best FROM tb WHERE rn = 1) WHERE best = 1")
+def t9c(spark, sf):
+    """The best cell of each replicate, then the best replicate of each method."""
+    m = fx.fx4(spark, sf).select(F.concat(F.lit("M"), (F.col("cell_id") % 4).cast("string")).alias("method"), F.col("rep").alias("repeat"), "fold", "cell_id",
+                                 F.lit("mcc").alias("metric"), F.col("mcc").alias("estimate"))
+    return r6(ST.best_replicas(ST.tuned_replicas(m, "mcc")), 8)
+
+
 @query("t10_compare", with_ctes(FX3P_SQL, _RS_SQL) + "SELECT variable, count(x) AS n, count_if(x IS NULL) AS n_missing, round(avg(x), 6) AS mean, "
        "round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median, "
        "round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS max FROM (SELECT " + ", ".join(f'"{c}"' for c in _RT_COLS)

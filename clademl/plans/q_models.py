@@ -22,6 +22,7 @@ from ..operators import networks as NN
 from ..operators import quality as Q
 from ..operators import recipe as E
 from ..operators import resample as R
+from ..operators import study as ST
 from ..operators import tuning as T
 from ..operators.discovery import score
 from ..operators.quality import complete_cases
@@ -29,7 +30,7 @@ from ..operators.ranking import global_rank
 from . import fixtures as fx
 from . import workflows as wf
 from .fixtures import FX1_SQL, FX5_SQL, with_ctes
-from .q_evaluation import _vfold_sql
+from .q_evaluation import _SPLIT_SQL, _vfold_sql
 from .registry import query, r6
 
 LEVELS, NEG, POS = fx.LEVELS, fx.NEG, fx.POS
@@ -180,6 +181,72 @@ def t4(spark, sf):
     return mets
 
 
+# A penalty that leaves no feature: every prediction is the class share of the training rows, the most frequent class wins.
+_NULL_FIT = "tr AS (SELECT avg((label = 'Nonprobiotic')::DOUBLE) AS p FROM split WHERE set = 'train')"
+
+
+@query("t4_null_last_fit", with_ctes(
+    FX1_SQL, _SPLIT_SQL, _NULL_FIT, "te AS (SELECT p, (label = 'Nonprobiotic')::DOUBLE AS neg FROM split, tr WHERE set = 'test')",
+    "ms AS (SELECT avg((neg = (p >= 0.5)::DOUBLE)::DOUBLE) AS accuracy, avg((p - neg) * (p - neg)) AS brier_class FROM te)")
+    + "SELECT metric, 'binary' AS estimator, round(estimate, 5) AS estimate FROM (SELECT 'accuracy' AS metric, accuracy AS estimate FROM ms "
+      "UNION ALL SELECT 'brier_class', brier_class FROM ms UNION ALL SELECT 'roc_auc', 0.5 UNION ALL SELECT 'mcc', NULL UNION ALL SELECT 'kap', 0.0)")
+def t4n(spark, sf):
+    train, test = wf.flagship_split(spark, sf)
+    _, _, mets = T.last_fit(train, test, lambda: E.recipe(fx.FEATURES), M.lasso_logit(10.0), LEVELS, NEG, POS)
+    return r6(mets, 5)
+
+
+@query("t3_null_refit", with_ctes(FX1_SQL, _SPLIT_SQL, "k AS (SELECT label, count(*) AS n FROM split WHERE set = 'train' GROUP BY label)")
+       + "SELECT balance, row_id, label, round(p, 5) AS pred_negative FROM split, (SELECT 'none' AS balance, (SELECT n FROM k WHERE label = 'Nonprobiotic') / (SELECT sum(n) FROM k) AS p "
+         "UNION ALL SELECT 'upsample', 0.5 UNION ALL SELECT 'weights', 0.5) WHERE set = 'test'")
+def t3(spark, sf):
+    """Refit on all training rows without balance, with upsampled rows and with class weights; the last two give every class the same say."""
+    train, test = wf.flagship_split(spark, sf)
+    models = {b or "none": ST.refit(train, lambda: E.recipe(fx.FEATURES), M.lasso_logit(10.0), balance=b) for b in (None, "upsample", "weights")}
+    d = ST.final_predictions(models, test, LEVELS)
+    return d.select(F.col("method").alias("balance"), "row_id", "label", F.round(f"pred_{NEG}", 5).alias("pred_negative"))
+
+
+_T11_FOLDS = _vfold_sql("cc", 3, 3, "label")
+
+
+@query("t11_null_study", with_ctes(
+    FX1_SQL, _CC_SQL, f"fo AS ({_T11_FOLDS})", "s AS (SELECT repeat, fold, count(*) FILTER (label = 'Probiotic') AS k, count(*) AS n FROM fo GROUP BY ALL)",
+    "t AS (SELECT repeat, sum(k) AS k, sum(n) AS n FROM s GROUP BY repeat)",
+    "f AS (SELECT repeat, fold, (t.k - s.k) / (t.n - s.n) AS p, s.k / s.n AS share FROM s JOIN t USING (repeat))",
+    "b AS (SELECT repeat FROM (SELECT repeat, round(avg(CASE WHEN p <= 0.5 THEN 1 - share ELSE share END), 10) AS mean FROM f GROUP BY repeat) ORDER BY mean DESC, repeat LIMIT 1)")
+    + "SELECT method, cell_id, repeat, fold, row_id, label, round(p, 5) AS pred_positive, cell_id = 0 AS chosen FROM fo JOIN b USING (repeat) JOIN f USING (repeat, fold), "
+      "(SELECT unnest(['lasso', 'elastic_net']) AS method), (SELECT unnest([0, 1]) AS cell_id)")
+def t11(spark, sf):
+    """Study of two methods whose grids leave no feature: held-out predictions of the final set, from the replicate and cell that ties choose."""
+    data = complete_cases(fx.fx1(spark, sf), fx.FEATURES)
+    data = M.label_index(data, "label", LEVELS)
+    folds = R.vfold(data, v=3, repeats=3, seed=42, strata="label")
+    learner = lambda c: M.elastic_net_logit(c.get("mixture", 1.0), c["penalty"])
+    methods = {"lasso": ST.Method(lambda: E.recipe(fx.FEATURES), learner, [{"penalty": 10.0}, {"penalty": 20.0}], fx.FEATURES),
+               "elastic_net": ST.Method(lambda: E.recipe(fx.FEATURES), learner, [{"penalty": 30.0, "mixture": 0.5}, {"penalty": 40.0, "mixture": 0.5}], fx.FEATURES)}
+    got = ST.replicate_study(data, folds, methods, LEVELS, NEG, POS)
+    return got.cv_predictions.select("method", F.col("cell_id").cast("int"), "repeat", "fold", "row_id", "label", F.round(f"pred_{POS}", 5).alias("pred_positive"), "chosen")
+
+
+@query("t9_final_set")
+def t9f(spark, sf):
+    """Two methods, tuned and upsampled inside 2 replicates x 3 folds; test metrics of the model that each method's best replicate gives."""
+    train, test = wf.flagship_split(spark, sf)
+    folds = R.vfold(train, v=3, repeats=2, seed=11, strata="label")
+    recipe = lambda: E.recipe(fx.FEATURES)
+    methods = {
+        "RLR": ST.Method(recipe, lambda c: M.lasso_logit(c["penalty"]), G.grid_log(-4, -1, 10), fx.FEATURES),
+        "RF": ST.Method(recipe, lambda c: M.forest(trees=20, mtry=c["mtry"], min_n=3), [{"mtry": 4}, {"mtry": 8}]),
+    }
+    got = ST.replicate_study(train, folds, methods, LEVELS, NEG, POS, balance="upsample")
+    preds = ST.final_predictions(got.models, test, LEVELS)
+    m = V.metric_set(preds, "label", "pred_class", f"pred_{NEG}", NEG, POS, by=["method"])
+    chosen = spark.createDataFrame([(c["method"], c["repeat"], c["cell_id"], c["mean"]) for c in got.chosen],
+                                   "method string, replica int, cell_id int, cv_accuracy double")  # a row per method
+    return m.drop("estimator").join(chosen, "method")
+
+
 @query("t6_tune_oneclass")
 def t6(spark, sf):
     """Score = mean inlier share of held-out normal rows; NULL for a cell that fails (nu = 2 is no share)."""

@@ -162,6 +162,11 @@ def p16(spark, sf):
     return P.tidy_round(d, ["mean_qty"], 2)
 
 
+@query("p16_round_text", with_ctes(FX1_SQL) + "SELECT row_id, " + ", ".join(f"printf('%.3f', round({c}, 3)) AS {c}" for c in ("f01", "f65", "f66")) + " FROM fx1")
+def p16t(spark, sf):
+    return P.round_text(fx.fx1(spark, sf).select("row_id", "f01", "f65", "f66"), ["f01", "f65", "f66"], 3)
+
+
 # ---------------------------------------------------------------- filters
 _EXCL = "'org_1', 'org_2', " + ", ".join(f"'{s}'" for s in Q.STRAINS_TO_REMOVE)
 
@@ -324,7 +329,7 @@ def a3(spark, sf):
     return r6(A.describe_numeric(fx.fx2(spark, sf), _PCT))
 
 
-_A4_COLS = ["f01", "f02", "f65", "f66", "f67"]
+_A4_COLS = fx.FEATURES
 
 
 @query("a4_summarize", with_ctes(FX1_SQL) + "SELECT variable, count(x) AS n, count_if(x IS NULL) AS n_missing, round(avg(x), 6) AS mean, "
