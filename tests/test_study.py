@@ -81,16 +81,6 @@ def test_refit_balances_classes(spark, made):
         ST.refit(made, _recipe, M.lasso_logit(10.0), balance="other")
 
 
-def test_kernel_svm_weights_count_like_repeated_rows(spark, made):
-    d = _recipe().fit(made).transform(made).withColumn("w", F.when(F.col("label") == "pos", 3.0).otherwise(1.0)).cache()
-    svm = lambda **k: M.KernelSVM(cost=1.0, sigma=0.5, n_components=8, n_input=2, max_iter=15, **k)
-    weighted = svm(weight_col="w").fit(d)
-    repeated = svm().fit(d.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))))
-    p = [M.class_probabilities(m.transform(d), LEVELS).select("row_id", F.col("pred_pos").alias(n)) for n, m in (("a", weighted), ("b", repeated))]
-    assert p[0].join(p[1], "row_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 0.02
-    d.unpersist()
-
-
 def test_round_text(spark):
     d = spark.createDataFrame([(1.0,), (0.0625,), (-0.0625,), (2.71828,), (None,), (-0.0001,)], "x double")
     assert [r["x"] for r in P.round_text(d, ["x"], 3).collect()] == ["1.000", "0.063", "-0.063", "2.718", None, "-0.000"]
