@@ -229,24 +229,6 @@ def t11(spark, sf):
     return got.cv_predictions.select("method", F.col("cell_id").cast("int"), "repeat", "fold", "row_id", "label", F.round(f"pred_{POS}", 5).alias("pred_positive"), "chosen")
 
 
-@query("t9_final_set")
-def t9f(spark, sf):
-    """Two methods, tuned and upsampled inside 2 replicates x 3 folds; test metrics of the model that each method's best replicate gives."""
-    train, test = wf.flagship_split(spark, sf)
-    folds = R.vfold(train, v=3, repeats=2, seed=11, strata="label")
-    recipe = lambda: E.recipe(fx.FEATURES)
-    methods = {
-        "RLR": ST.Method(recipe, lambda c: M.lasso_logit(c["penalty"]), G.grid_log(-4, -1, 10), fx.FEATURES),
-        "RF": ST.Method(recipe, lambda c: M.forest(trees=20, mtry=c["mtry"], min_n=3), [{"mtry": 4}, {"mtry": 8}]),
-    }
-    got = ST.replicate_study(train, folds, methods, LEVELS, NEG, POS, balance="upsample")
-    preds = ST.final_predictions(got.models, test, LEVELS)
-    m = V.metric_set(preds, "label", "pred_class", f"pred_{NEG}", NEG, POS, by=["method"])
-    chosen = spark.createDataFrame([(c["method"], c["repeat"], c["cell_id"], c["mean"]) for c in got.chosen],
-                                   "method string, replica int, cell_id int, cv_accuracy double")  # a row per method
-    return m.drop("estimator").join(chosen, "method")
-
-
 @query("t6_tune_oneclass")
 def t6(spark, sf):
     """Score = mean inlier share of held-out normal rows; NULL for a cell that fails (nu = 2 is no share)."""
