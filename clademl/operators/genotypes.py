@@ -303,14 +303,16 @@ def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 1024, s
 def dosage_vectors(g: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """One sparse dosage vector per sample over the dense variant index (NULL calls left out).
 
-    Returns ``(fid, iid, features)``; the variant index is ``index_keys`` of the variants.
+    Returns ``(fid, iid, features)``; the variant index is ``index_keys`` of the variants. Calls of a sample at one
+    variant that occur more than once (ids that repeat) add up.
     """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     vi = variants if variants is not None else index_keys(g, VARIANT, "vi")
     nv = vi.count()
     calls = _by_variant(g.filter(F.col("dosage").isNotNull()), vi, "inner")
-    per = calls.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(F.struct("vi", F.col("dosage").cast("double")))).alias("e"))
+    cells = calls.groupBy(*SAMPLE, "vi").agg(F.sum(F.col("dosage").cast("double")).alias("dosage"))
+    per = cells.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(F.struct("vi", "dosage"))).alias("e"))
 
     @F.udf(VectorUDT())
     def to_vec(entries):  # one call per sample row
