@@ -113,3 +113,11 @@ def test_streaming_discovery(spark, tmpdir_path):
     got = {r["row_id"] for r in spark.sql("SELECT row_id FROM disc_stream").collect()}
     batch = {r["row_id"] for r in wf.discovery_flagship(spark, SF).collect()}
     assert got == batch
+
+
+def test_forest_keeps_its_node_ids_and_the_same_trees(spark):
+    rows = [(float(i * 37 % 101), float(i * 53 % 89), float((i * i) % 7 > 2)) for i in range(300)]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label_index double"))
+    learner = M.forest(trees=5, min_n=2)
+    assert learner.getCacheNodeIds()
+    assert learner.fit(d).toDebugString.split("\n")[1:] == learner.copy().setCacheNodeIds(False).fit(d).toDebugString.split("\n")[1:]
