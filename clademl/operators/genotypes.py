@@ -8,7 +8,7 @@ variants; the kinship matrix is a blocked distributed matrix product.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -221,82 +221,173 @@ def index_keys(df: DataFrame, keys: Sequence[str], out: str, seed: int = 0) -> D
     return cut_lineage(with_file_order(k, out))
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by ``by``, in frames that hold all rows of each of their groups."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = [pdf[c].to_numpy() for c in by]
+        if held and any(held[-1][c].iloc[-1] != k[0] for c, k in zip(by, keys)):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        at = len(pdf) - int(np.logical_and.reduce([k == k[-1] for k in keys]).sum())
+        if at:
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[at:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(pdf: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """First row of every run of equal ``by``, and the number of rows."""
+    new = np.logical_or.reduce([np.diff(pdf[c].to_numpy()) != 0 for c in by])
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(pdf)]))
+
+
+#: Products of two calls that are worked out at a time, and up to which a task goes through them one by one.
+PRODUCTS, TASK_PRODUCTS = 1 << 20, 200_000_000
+#: Cells of a dense product that take as long as one product of two calls.
+DENSE_CELLS = 170
+#: Samples up to which their names are sent to every task.
+NAMES = 500_000
+
+
+class _PairSums:
+    """Sums of one pair of sample blocks: ``g`` of ``z_i z_j`` and ``m`` of the calls at the same variant."""
+
+    def __init__(self, variants: int, samples: int):
+        self.nv, self.ns = variants, samples
+        self.g, self.m = np.zeros(samples * samples), np.zeros(samples * samples, np.int64)
+        self.at: list[np.ndarray] = []
+        self.z: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """``left`` and ``right`` are the variants (sorted), samples and standardised values of two blocks' calls."""
+        (rl, cl, zl), (rr, cr, zr) = left, right
+        first = np.searchsorted(rr, np.arange(self.nv + 1))
+        many = np.diff(first)[rl]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        if total * DENSE_CELLS > self.nv * self.ns * self.ns:
+            (zl, ol), (zr, orr) = self._dense(*left), self._dense(*right)
+            self.g += (zl.T @ zr).ravel()
+            self.m += (ol.T @ orr).ravel().astype(np.int64)  # counts of a block are exact in single precision
+            return
+        cuts = np.searchsorted(ends, np.arange(PRODUCTS, total, PRODUCTS), side="right").tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(rl)]):
+            n = many[a:b]
+            size = int(n.sum())
+            if not size:
+                continue
+            other = np.arange(size) - np.repeat(np.cumsum(n) - n - first[rl[a:b]], n)
+            self.at.append(np.repeat(cl[a:b].astype(np.int64) * self.ns, n) + cr[other])
+            self.z.append(np.repeat(zl[a:b], n) * zr[other])
+            self.held += size
+            if self.held >= PRODUCTS:
+                self._flush()
+
+    def _dense(self, r: np.ndarray, c: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, shape = r.astype(np.int64) * self.ns + c, (self.nv, self.ns)
+        return np.bincount(at, z, self.nv * self.ns).reshape(shape), np.bincount(at, minlength=self.nv * self.ns).reshape(shape).astype(np.float32)
+
+    def _flush(self) -> None:
+        if self.held:
+            at = np.concatenate(self.at)
+            self.g += np.bincount(at, np.concatenate(self.z), len(self.g))
+            self.m += np.bincount(at, minlength=len(self.m))
+            self.at, self.z, self.held = [], [], 0
+
+    def cells(self, bi: int, bj: int) -> Iterator[pd.DataFrame]:
+        self._flush()
+        some = np.flatnonzero(self.m)
+        for k in range(0, len(some), 100_000):
+            at = some[k : k + 100_000]
+            yield pd.DataFrame({"i": bi * self.ns + at // self.ns, "j": bj * self.ns + at % self.ns, "gs": self.g[at], "m": self.m[at]})
+
+
 def kinship(g: DataFrame, min_maf: float = MAF_MIN, variant_block: int = 1024, sample_block: int = 1024) -> DataFrame:
     """Genomic relationship matrix ``(fid_i, iid_i, fid_j, iid_j, g, m)``.
 
     ``z = (x - 2p) / sqrt(2p(1-p))`` per call (variants with MAF >= min_maf),
-    ``g_ij = sum_k z_ik z_jk / m_ij`` with ``m_ij`` the variants observed in both.
+    ``g_ij = sum_k z_ik z_jk / m_ij`` with ``m_ij`` the variants observed in both (a call that occurs twice counts twice).
 
-    A blocked Gram product ``Z^T Z`` / ``O^T O`` in DataFrame operators: calls become
-    dense (variant block x sample block) matrices of one byte a call (``applyInPandas`` per block;
-    standardised only where they are multiplied), and each block goes to the block pairs it takes part in, so a variant block's pairs spread over
-    tasks. A task reads its pairs in order and keeps the sum of one pair at a time;
-    ``Summarizer.sum`` adds the partial sums of a pair. Rows never pair with rows.
+    A blocked Gram product ``Z^T Z`` / ``O^T O``: calls become (variant block x sample block) rows of five bytes a call and a
+    frequency per variant, and each row goes to the pairs of sample blocks it takes part in. A task reads its pairs in order, keeps
+    the sums of one pair at a time and tells the cells of samples that have a variant in common; blocks with few calls are multiplied
+    call by call, full ones as matrices. Where few pairs have much to add up, a pair's variants are dealt over tasks,
+    and the cells' partial sums are added. Rows never pair with rows.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+    from ..session import cut_lineage
+    from ..sources.tables import with_file_order
 
-    st = variant_stats(g).filter(F.col("maf") >= min_maf).select(*VARIANT, "p")
-    obs = _by_variant(g.filter(F.col("dosage").isNotNull()), st, "inner")
-    vi = index_keys(st, VARIANT, "vi")
-    si = index_keys(obs, SAMPLE, "si")
+    st = variant_stats(g).filter(F.col("maf") >= min_maf).select(*VARIANT, "p", (F.col("n") - F.col("n_missing")).cast("double").alias("calls"))
+    vi = cut_lineage(with_file_order(cut_lineage(st), "vi"))
+    seen = g.filter(F.col("dosage").isNotNull())
+    si = index_keys(seen, SAMPLE, "si")
     n_samples = si.count()  # both are stored index tables
-    BV, BS = max(1, min(int(variant_block), vi.count())), max(1, min(int(sample_block), n_samples))
-    n_blocks = -(-n_samples // BS)
-    z = _by_variant(obs, vi, "inner").join(si, SAMPLE).select(
+    size = vi.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("calls") * F.col("calls")).alias("products")).first()
+    BV, BS = max(1, min(int(variant_block), size["n"])), max(1, min(int(sample_block), n_samples))
+    n_blocks, variant_blocks = max(1, -(-n_samples // BS)), max(1, -(-size["n"] // BV))
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = int(min(variant_blocks, max(1, 2 * parts // n_pairs), max(1, (size["products"] or 0) // (n_pairs * TASK_PRODUCTS))))
+    kind = np.uint16 if max(BV, BS) <= 1 << 16 else np.int32
+    calls = _by_variant(seen, vi, "inner").join(F.broadcast(si) if n_samples <= NAMES else si, SAMPLE).select(
         F.floor(F.col("vi") / BV).alias("vb"), F.floor(F.col("si") / BS).alias("sb"),
-        (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), F.col("dosage").cast("int").alias("dosage"), "p")
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dm, freq = np.full((BV, BS), -1, dtype=np.int8), np.zeros(BV)  # a byte a call, -1: not observed
-        dm[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["dosage"].to_numpy()
-        freq[pdf["r"].to_numpy()] = pdf["p"].to_numpy()
-        return pd.DataFrame({"vb": [key[0]], "sb": [key[1]], "dm": [dm.tobytes()], "fm": [freq.tobytes()]})
-
-    blocks = z.groupBy("vb", "sb").applyInPandas(build, "vb long, sb long, dm binary, fm binary")
-    a = blocks.select("vb", F.col("sb").alias("bi"), F.explode(F.sequence("sb", F.lit(n_blocks - 1).cast("long"))).alias("bj"),
-                      F.col("dm").alias("da"), F.col("fm").alias("fa"))
-    b = blocks.select("vb", F.explode(F.sequence(F.lit(0).cast("long"), "sb")).alias("bi"), F.col("sb").alias("bj"),
-                      F.col("dm").alias("db"), F.col("fm").alias("fb"))
-    pairs = a.join(b, ["vb", "bi", "bj"]).sortWithinPartitions("bi", "bj")
-
-    def standardised(dosages: bytes, freqs: bytes) -> tuple[np.ndarray, np.ndarray]:
-        dm, freq = np.frombuffer(dosages, dtype=np.int8).reshape(BV, BS), np.frombuffer(freqs)
-        there, sd = dm >= 0, np.sqrt(2 * freq * (1 - freq))
-        z = (dm - 2 * freq[:, None]) / np.where(sd > 0, sd, 1)[:, None]
-        z[~there] = 0.0
-        return z, there.astype(np.float32)  # counts up to BV are exact in single precision
-
-    def multiply(it):
-        at, gm, mm = None, None, None
-        for pdf in it:
-            for bi, bj, da, fa, db, fb in zip(pdf["bi"], pdf["bj"], pdf["da"], pdf["fa"], pdf["db"], pdf["fb"]):
-                if at != (bi, bj):
+        (F.col("vi") % BV).cast("int").alias("r"), (F.col("si") % BS).cast("int").alias("c"), F.col("dosage").cast("byte").alias("d"), "p")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["vb", "sb"]):
+            at = group_bounds(pdf, ["vb", "sb"])
+            r, c, d, p = pdf["r"].to_numpy(kind), pdf["c"].to_numpy(kind), pdf["d"].to_numpy(np.int8), pdf["p"].to_numpy(np.float64)
+            rows = []
+            for a, b in zip(at[:-1], at[1:]):
+                own = np.flatnonzero(np.diff(r[a:b].astype(np.int64), prepend=-1))
+                rows.append((r[a:b].tobytes(), c[a:b].tobytes(), d[a:b].tobytes(), p[a:b][own].tobytes()))
+            keys = pdf.iloc[at[:-1]][["vb", "sb"]].reset_index(drop=True)
+            for k in range(0, len(rows), 256):
+                yield pd.concat([keys.iloc[k : k + 256].reset_index(drop=True), pd.DataFrame(rows[k : k + 256], columns=["r", "c", "d", "p"])], axis=1)
+
+    blocks = calls.repartition("vb").sortWithinPartitions("vb", "sb", "r", "c").mapInPandas(pack, "vb long, sb long, r binary, c binary, d binary, p binary")
+    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).select(
+        F.least("sb", "o").alias("bi"), F.greatest("sb", "o").alias("bj"), (F.col("vb") % shares).alias("share"), "vb", "sb", "r", "c", "d", "p")
+    dealt = dealt.repartition(parts, "bi", "bj", "share").sortWithinPartitions("bi", "bj", "share", "vb", "sb")
+
+    def calls_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c, d, p = np.frombuffer(row.r, kind), np.frombuffer(row.c, kind), np.frombuffer(row.d, np.int8), np.frombuffer(row.p)
+        p = p[np.cumsum(np.diff(r.astype(np.int64), prepend=r[0]) != 0)]
+        sd = np.sqrt(2 * p * (1 - p))
+        return r, c, (d - 2 * p) / np.where(sd > 0, sd, 1)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums, left = None, None, None
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if at != (row.bi, row.bj, row.share):
                     if at is not None:
-                        yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
-                    at, gm, mm = (bi, bj), np.zeros((BS, BS)), np.zeros((BS, BS))
-                za, oa = standardised(da, fa)
-                zb, ob = (za, oa) if bi == bj else standardised(db, fb)
-                gm += za.T @ zb
-                mm += oa.T @ ob
+                        yield from sums.cells(*at[:2])
+                    at, sums, left = (row.bi, row.bj, row.share), _PairSums(BV, BS), None
+                if row.sb == row.bi:  # comes before the other block's row of this variant block
+                    left = row.vb, calls_of(row)
+                if row.sb == row.bj and left is not None and left[0] == row.vb:
+                    sums.add(left[1], left[1] if row.bi == row.bj else calls_of(row))
         if at is not None:
-            yield pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "g": [gm.ravel()], "m": [mm.ravel()]})
-
-    prods = pairs.mapInPandas(multiply, "bi long, bj long, g array<double>, m array<double>")
-    summed = prods.groupBy("bi", "bj").agg(Summarizer.sum(array_to_vector("g")).alias("g"),
-                                           Summarizer.sum(array_to_vector("m")).alias("m"))
-    cells = summed.select("bi", "bj", F.arrays_zip(vector_to_array("g").alias("g"), vector_to_array("m").alias("m")).alias("gm")) \
-        .select("bi", "bj", F.posexplode("gm").alias("k", "v"))
-    i = F.col("bi") * BS + F.floor(F.col("k") / BS)
-    j = F.col("bj") * BS + F.col("k") % BS
-    ent = cells.select("bi", "bj", i.alias("i"), j.alias("j"), F.col("v.g").alias("gs"), F.col("v.m").alias("m")) \
-        .filter(F.col("m") > 0)
+            yield from sums.cells(*at[:2])
+
+    ent = dealt.mapInPandas(multiply, "i long, j long, gs double, m long")
+    if shares > 1:
+        ent = ent.groupBy("i", "j").agg(F.sum("gs").alias("gs"), F.sum("m").alias("m"))
     # diagonal block pairs already hold both triangles; off-diagonal ones are mirrored
-    both = ent.select("i", "j", "gs", "m").unionByName(ent.filter(F.col("bi") < F.col("bj")).select(
-        F.col("j").alias("i"), F.col("i").alias("j"), "gs", "m"))
-    pairs_out = both.select("i", "j", (F.col("gs") / F.col("m")).alias("g"), F.col("m").cast("long").alias("m"))
+    here, there = F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = ent.select(F.explode(F.when(F.floor(F.col("i") / BS) == F.floor(F.col("j") / BS), F.array(here)).otherwise(F.array(here, there))).alias("at"), "gs", "m")
+    pairs_out = both.select("at.i", "at.j", (F.col("gs") / F.col("m")).alias("g"), "m")
     si_i = si.select(F.col("si").alias("i"), F.col("fid").alias("fid_i"), F.col("iid").alias("iid_i"))
     si_j = si.select(F.col("si").alias("j"), F.col("fid").alias("fid_j"), F.col("iid").alias("iid_j"))
+    if n_samples <= NAMES:
+        si_i, si_j = F.broadcast(si_i), F.broadcast(si_j)
     return pairs_out.join(si_i, "i").join(si_j, "j").select("fid_i", "iid_i", "fid_j", "iid_j", "g", "m")
 
 
