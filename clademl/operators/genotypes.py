@@ -409,11 +409,12 @@ def dosage_vectors(g: DataFrame, variants: DataFrame | None = None) -> DataFrame
     vi = variants if variants is not None else index_keys(g, VARIANT, "vi")
     nv = vi.count()
     calls = _by_variant(g.filter(F.col("dosage").isNotNull()), vi, "inner")
-    cells = calls.groupBy(*SAMPLE, "vi").agg(F.sum(F.col("dosage").cast("double")).alias("dosage"))
+    # by sample first: the sums of a call's repeats and the lists come from the same shuffle
+    cells = calls.select(*SAMPLE, "vi", "dosage").repartition(*SAMPLE).groupBy(*SAMPLE, "vi").agg(F.sum(F.col("dosage").cast("double")).alias("dosage"))
     per = cells.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(F.struct("vi", "dosage"))).alias("e"))
 
     @F.udf(VectorUDT())
-    def to_vec(entries):  # one call per sample row
-        return SparseVector(nv, [int(e[0]) for e in entries], [float(e[1]) for e in entries])
+    def to_vec(at, values):  # one call per sample row
+        return SparseVector(nv, at, values)
 
-    return per.select(*SAMPLE, to_vec("e").alias("features"))
+    return per.select(*SAMPLE, to_vec(F.transform("e", lambda x: x["vi"].cast("int")), F.col("e.dosage")).alias("features"))

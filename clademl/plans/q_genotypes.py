@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import genotypes as N
@@ -104,9 +103,12 @@ def n9(spark, sf):
        "CAST(sum(dosage) AS DOUBLE) AS dosage_sum FROM fx5 WHERE dosage IS NOT NULL GROUP BY fid, iid")
 def n10(spark, sf):
     v = N.dosage_vectors(fx.fx5(spark, sf))
-    arr = vector_to_array("features")
-    return v.select("fid", "iid", F.size(arr).cast("long").alias("size"),
-                    F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("dosage_sum"))
+
+    @F.udf("size long, total double")
+    def told(x):  # as sparse as it is: an array would hold every variant for every sample
+        return x.size, float(x.values.sum())
+
+    return v.select("fid", "iid", told("features").alias("t")).select("fid", "iid", "t.size", F.col("t.total").alias("dosage_sum"))
 
 
 _GREEDY_SQL = (
